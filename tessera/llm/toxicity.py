@@ -2,30 +2,32 @@
 
 A text is cut into overlapping windows of ``WINDOW`` words, ``STRIDE`` apart, up to its end; every window
 is scored. A word enters as a learned word vector (hashed), the mean of learned vectors of its character
-trigrams (hashed), and its smoothed log-odds in the training rows. A text's score is a calibrated
-logistic of its highest window. Empty texts are scored as one window of padding.
+trigrams (hashed), its smoothed log-odds in the training rows, and the highest log-odds of its runs of
+five bytes (hashed). A text's score is a logistic of its highest window, calibrated on a fourth of the
+sample that the network was not trained on. Empty texts are scored as one window of padding.
 
-Training uses at most ``SAMPLE`` labelled rows of at most ``SAMPLE_CHARS`` characters (those with the
-smallest hashes of their ids), on the driver. A toxic text trains the windows that the network itself
+Training uses at most ``SAMPLE`` labelled rows of at most ``SAMPLE_CHARS`` characters (of each label those
+with the smallest hashes of their ids, at most half of them toxic), on the driver. A toxic text trains the windows that the network itself
 finds most toxic (first those of the highest log-odds); a text that is not trains its windows at random.
 """
 
 from __future__ import annotations
 
-import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 
-WINDOW, STRIDE, HIDDEN = 16, 8, 8
+WINDOW, STRIDE, HIDDEN = 16, 12, 8
 WORD_SLOTS, WORD_DIM, CHAR_SLOTS, CHAR_DIM = 1 << 14, 4, 1 << 12, 4
-INPUT = WORD_DIM + CHAR_DIM + 1
+INPUT = WORD_DIM + CHAR_DIM + 2
+GRAM_SLOTS = 1 << 18
 SAMPLE, SAMPLE_CHARS, CUT = 6000, 20_000, 0.3
-BATCH_WINDOWS = 8192
+BATCH_WINDOWS = 4096
 _F = np.float32
 
 
@@ -43,7 +45,9 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         start, end, self.counts = tb.words(data, offsets)
         hashes = tb.word_hashes(data, start, end)
-        self.hash, first, self.index = np.unique(hashes, return_index=True, return_inverse=True)
+        self.index, self.hash = pd.factorize(hashes)
+        first = np.empty(len(self.hash), np.int64)
+        first[self.index[::-1]] = np.arange(len(hashes))[::-1]
         self.slot = (self.hash % np.uint64(WORD_SLOTS)).astype(np.int64)
         # characters: bytes of each distinct word between two borders, as trigrams
         start, end = start[first], end[first]
@@ -56,6 +60,11 @@ class Words:
         right = np.where(at + 1 < np.repeat(end, size), low[np.minimum(at + 1, max(len(data) - 1, 0))], 2)
         self.trigram = ((left * 0x9E37 + here * 0x85EB + right * 0xC2B3) * 0x27D4EB2F >> 7) % CHAR_SLOTS
         self.size = size
+        begin = np.repeat(start, size)
+        gram = here
+        for k in range(1, 5):
+            gram = gram * 0x100000001B3 + np.where(at - k >= begin, low[np.maximum(at - k, 0)], 1)
+        self.gram = (tb.mix(gram.astype(np.uint64)) % np.uint64(GRAM_SLOTS)).astype(np.int64)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(indices of distinct words, -1 for padding; row) of every window. The last window of a text ends
@@ -83,6 +92,7 @@ class Network:
         for side in "fb":
             self.p |= {"x" + side: draw(INPUT, 3 * HIDDEN), "h" + side: draw(HIDDEN, 3 * HIDDEN), "c" + side: np.zeros(3 * HIDDEN, _F)}
         self.odds = (np.zeros(0, np.uint64), np.zeros(0, _F))
+        self.gram_odds = np.zeros(GRAM_SLOTS, _F)
         self.scale = (1.0, 0.0)
 
     def log_odds(self, hashes: np.ndarray) -> np.ndarray:
@@ -97,22 +107,29 @@ class Network:
         x = np.zeros((len(words.hash) + 1, INPUT), _F)
         if len(words.hash):
             x[:-1, :WORD_DIM] = self.p["word"][words.slot]
-            sums = np.add.reduceat(self.p["char"][words.trigram], np.cumsum(words.size) - words.size)
-            x[:-1, WORD_DIM:-1] = sums / words.size[:, None].astype(_F)
+            begin = np.cumsum(words.size) - words.size
+            sums = np.add.reduceat(self.p["char"][words.trigram], begin)
+            x[:-1, WORD_DIM:-2] = sums / words.size[:, None].astype(_F)
+            x[:-1, -2] = np.maximum.reduceat(self.gram_odds[words.gram], begin)
             x[:-1, -1] = self.log_odds(words.hash)
         return x
 
-    def forward(self, x: np.ndarray, index: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def logits(self, x: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Logits of any number of windows over the distinct words' inputs."""
+        gates = {side: x @ self.p["x" + side] + self.p["c" + side] for side in "fb"}
+        return np.concatenate([np.zeros(0, _F), *(self.forward(gates, index[at : at + BATCH_WINDOWS]) for at in range(0, len(index), BATCH_WINDOWS))])
+
+    def forward(self, gates: dict, index: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Logits of windows. keep: gets what the backward pass needs."""
         p, n, h3 = self.p, len(index), HIDDEN
         states = np.empty((WINDOW, n, 2 * h3), _F)
         steps = {}
         for side, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
-            gates = x @ p["x" + side] + p["c" + side]
+            own = gates[side]
             h = np.zeros((n, h3), _F)
             u, lo = p["h" + side], slice(0, h3) if side == "f" else slice(h3, 2 * h3)
             for t in order:
-                g = gates[index[:, t]]
+                g = own[index[:, t]]
                 r = h @ u
                 zr = g[:, : 2 * h3] + r[:, : 2 * h3]
                 # sigmoid(x) = (1 + tanh(x / 2)) / 2
@@ -139,7 +156,7 @@ class Network:
 
     def gradients(self, words: Words, x: np.ndarray, index: np.ndarray, y: np.ndarray) -> dict:
         keep: list = []
-        logit = self.forward(x, index, keep)
+        logit = self.forward({side: x @ self.p["x" + side] + self.p["c" + side] for side in "fb"}, index, keep)
         states, steps, hidden, weight, pooled = keep
         p, n, h3 = self.p, len(index), HIDDEN
         d = ((_sigmoid(logit) - y) / n).astype(_F)[:, None]
@@ -177,7 +194,7 @@ class Network:
         g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
         if len(words.hash):
             np.add.at(g["word"], words.slot, d_x[:-1, :WORD_DIM])
-            np.add.at(g["char"], words.trigram, (d_x[:-1, WORD_DIM:-1] / words.size[:, None])[words.trigram_word].astype(_F))
+            np.add.at(g["char"], words.trigram, (d_x[:-1, WORD_DIM:-2] / words.size[:, None])[words.trigram_word].astype(_F))
         return g
 
     def highest(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,7 +202,7 @@ class Network:
         words = Words(data, offsets)
         x = self.inputs(words)
         index, row = words.windows()
-        logit = np.concatenate([self.forward(x, index[at : at + BATCH_WINDOWS]) for at in range(0, len(index), BATCH_WINDOWS)]) if len(index) else np.zeros(0, _F)
+        logit = self.logits(x, index)
         best = np.full(len(offsets) - 1, -np.inf)
         np.maximum.at(best, row, logit)
         return best, words, index, row, logit
@@ -199,47 +216,61 @@ def _block(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return tb.utf8(pa.array(texts, pa.large_string()))
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 5, seed: int = 3) -> Network:
-    """A network for rows of text with labels 0 or 1. Without both labels it scores their mean alone."""
+def _odds(row: np.ndarray, item: np.ndarray, y: np.ndarray, items: int) -> np.ndarray:
+    """Smoothed log-odds of a toxic row given each item, over the distinct (row, item) pairs; 0 below three rows."""
+    pair = np.unique(row * np.int64(items) + item)
+    row, item = pair // items, pair % items
+    toxic, seen = np.bincount(item, y[row], items), np.bincount(item, minlength=items)
+    rate, strength = y.mean(), 4.0
+    odds = np.log((toxic + strength * rate) / (seen - toxic + strength * (1 - rate))) - np.log(rate / (1 - rate))
+    return np.clip(np.where(seen >= 3, odds, 0), -4, 4).astype(_F)
+
+
+def train(texts: list[str], labels: np.ndarray, rate: float | None = None, rounds: int = 4, seed: int = 3) -> Network:
+    """A network for rows of text with labels 0 or 1; rate: that of label 1 among all rows, if the sample's
+    differs. Without rows of both labels it scores their rate alone."""
     net = Network(seed)
     y = np.asarray(labels, float)
-    if len(y) == 0 or y.min() == y.max():
+    if y.sum() < 4 or (1 - y).sum() < 4:
         rate = (y.sum() + 0.5) / (len(y) + 1)
         net.scale = (0.0, float(np.log(rate / (1 - rate))))
         return net
     rng = np.random.Generator(np.random.PCG64(seed))
-    data, offsets = _block(texts)
-    words = Words(data, offsets)
-    # log-odds of words by the rows that hold them
+    fold = np.zeros(len(y), int)
+    for label in (0, 1):  # a fourth of either label is kept for the calibration
+        at = rng.permutation(np.flatnonzero(y == label))
+        fold[at[: -(-len(at) // 4)]] = 1
+    texts, kept = np.array(texts, object), (np.array(texts, object)[fold == 1], y[fold == 1])
+    y = y[fold == 0]
+    words = Words(*_block(list(texts[fold == 0])))
     row = tb.row_of(words.counts)
-    pair = np.unique(row * np.int64(len(words.hash) + 1) + words.index)
-    row, word = pair // (len(words.hash) + 1), pair % (len(words.hash) + 1)
-    with_toxic, with_word = np.bincount(word, y[row], len(words.hash)), np.bincount(word, minlength=len(words.hash))
-    rate = y.mean()
-    strength = 4.0
-    odds = np.log((with_toxic + strength * rate) / (with_word - with_toxic + strength * (1 - rate))) - np.log(rate / (1 - rate))
-    net.odds = (words.hash, np.clip(odds, -4, 4).astype(_F))
+    odds = _odds(row, words.index, y, len(words.hash))
+    ranked = np.argsort(words.hash)
+    net.odds = (words.hash[ranked], odds[ranked])
+    pair = np.unique(row * np.int64(len(words.hash)) + words.index)
+    size, begin = words.size[pair % len(words.hash)], (np.cumsum(words.size) - words.size)[pair % len(words.hash)]
+    at = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    net.gram_odds = _odds(np.repeat(pair // len(words.hash), size), words.gram[at], y, GRAM_SLOTS)
     index, row = words.windows()
-    first = np.where(index >= 0, np.append(odds, -9.0)[index], -9.0).max(1)
+    clue = net.inputs(words)[:, -2:].max(1)
+    first = clue[index].max(1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     for turn in range(rounds):
-        rank = first if turn == 0 else np.concatenate([net.forward(net.inputs(words), index[a : a + BATCH_WINDOWS]) for a in range(0, len(index), BATCH_WINDOWS)])
+        x = net.inputs(words)
+        rank = first if turn == 0 else net.logits(x, index)
         order = np.lexsort((-rank, row))
         nth = np.arange(len(order)) - np.searchsorted(row[order], row[order])
-        top = order[nth < 1]
         some = rng.choice(order, min(len(order), 2 * len(y)), replace=False)
-        chosen = np.concatenate([top, some[y[row[some]] == 0]])
+        chosen = np.concatenate([order[nth < 1], some[y[row[some]] == 0]])
         rng.shuffle(chosen)
         for at in range(0, len(chosen), 256):
             part = chosen[at : at + 256]
             used, local = np.unique(index[part], return_inverse=True)
             local = local.reshape(index[part].shape)
-            sub = _subset(words, used)
-            if used[0] >= 0:
-                pass
-            else:  # padding is the last row of the inputs
+            if used[0] < 0:  # padding is the last row of the inputs
                 local = np.where(local == 0, len(used) - 1, local - 1)
+            sub = _subset(words, used)
             grads = net.gradients(sub, net.inputs(sub), local, y[row[part]])
             step += 1
             for k, g in grads.items():
@@ -247,8 +278,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 5, seed: int = 3)
                 m += _F(0.1) * (g - m)
                 v += _F(0.01) * (g * g - v)
                 net.p[k] -= (_F(0.01) * (m / _F(1 - 0.9**step)) / (np.sqrt(v / _F(1 - 0.99**step)) + _F(1e-6))).astype(_F)
-    best, *_ = net.highest(data, offsets)
-    net.scale = _calibrated(best, y)
+    slope, offset = _calibrated(net.highest(*_block(list(kept[0])))[0], kept[1])
+    if rate is not None and 0 < rate < 1:
+        sample = kept[1].mean()
+        offset += float(np.log(rate / (1 - rate)) - np.log(sample / (1 - sample)))
+    net.scale = (slope, offset)
     return net
 
 
@@ -258,7 +292,7 @@ def _subset(words: Words, used: np.ndarray) -> Words:
     out.hash, out.slot, out.size = words.hash[used], words.slot[used], words.size[used]
     begin = (np.cumsum(words.size) - words.size)[used]
     at = np.repeat(begin, out.size) + np.arange(out.size.sum()) - np.repeat(np.cumsum(out.size) - out.size, out.size)
-    out.trigram, out.trigram_word = words.trigram[at], np.repeat(np.arange(len(used)), out.size)
+    out.trigram, out.gram, out.trigram_word = words.trigram[at], words.gram[at], np.repeat(np.arange(len(used)), out.size)
     return out
 
 
@@ -278,13 +312,21 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
     """Trained on rows of ``labels`` (doc_id, toxic) that are not held out; null labels are none."""
     known = labels.select("doc_id", "toxic").na.drop().where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    share = min(1.0, SAMPLE / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    known = known.where("toxic in (0, 1)")
+    found = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = min(found.get(1, 0), SAMPLE // 2)
+    takes = {1: most, 0: min(found.get(0, 0), SAMPLE - most)}
+    order = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30))
+    part = F.lit(False)
+    for label, n in takes.items():  # a hash threshold with some room, then exactly the smallest
+        part |= (F.col("toxic") == label) & (order < int((1 << 30) * min(1.0, (n + 4 * n**0.5 + 1) / max(1, found.get(label, 1)))))
+    known = known.where(part).withColumn("order", order).orderBy("order", "doc_id").limit(2 * SAMPLE)
     texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").collect()  # SAMPLE labels at most
-    rows = sorted({r.doc_id: r for r in rows}.values(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))[:SAMPLE]
-    return train([r.text for r in rows], np.array([int(r.toxic) for r in rows]))
+    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic", "order").collect()  # 2 * SAMPLE labels at most
+    rows = sorted({r.doc_id: r for r in rows}.values(), key=lambda r: (r.order, r.doc_id))
+    rows = [r for label, n in takes.items() for r in [r for r in rows if r.toxic == label][:n]]
+    total = sum(found.values())
+    return train([r.text for r in rows], np.array([int(r.toxic) for r in rows]), found.get(1, 0) / total if total else None)
 
 
 def score_texts(docs: DataFrame, net: Network, keep: bool = False) -> DataFrame:
