@@ -78,14 +78,14 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with about ``limit`` bytes of text each (a longer text stands alone)."""
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES, rows: int = 60_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with about ``limit`` bytes of text and at most ``rows`` rows each (a longer text stands alone)."""
     for batch in batches:
         data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
         at, n = 0, batch.num_rows
         while at < n:
             to = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
-            to = min(n, max(to, at + 1))
+            to = min(n, at + rows, max(to, at + 1))
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
 
