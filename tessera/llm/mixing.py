@@ -103,6 +103,13 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": pdf["source"], "size": lengths, "passes": passes, "chosen": fit_counts(lengths, counts, budget - passes * total) if passes < MOST else 0 * counts})
 
 
+def taken_rows(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them. Rows without words are not taken."""
+    names = docs.columns
+    mixed = _mixed(docs, names, seed).where("times > 0")
+    return mixed.select(F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("again"), "kept_row").select("kept_row.*").select(*names)
+
+
 def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, text, source).
 
@@ -110,8 +117,14 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     source is a source of its own, last in order. Repeated rows are rows of their own; rows that agree in
     all that is ranked take the earlier places in any order, with the same result. An empty table gives none.
     """
+    return _mixed(docs, [], seed).select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))
+
+
+def _mixed(docs: DataFrame, carried: list[str], seed: int) -> DataFrame:
+    """Each row's columns of ``carried`` as kept_row, with how many times it is taken."""
     spark = docs.sparkSession
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("rank"))
+    more = [F.struct(*carried).alias("kept_row")] if carried else []
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("rank"), *more)
     counted = base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     # one row for each source reaches the driver: the weights need their order by code point
     sizes = [(r.source, int(r.total)) for r in counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect()]
@@ -140,7 +153,7 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     sure = ranked.where("place is not null").withColumn("more", F.col("place"))
     torn = ranked.where("place is null").withColumn("order", F.expr("row_number() over (partition by source, size, bucket order by rank, doc_id)"))
     torn = torn.withColumn("more", (F.col("order") <= room).cast("int")).drop("order")
-    return sure.unionByName(torn).select("doc_id", "size", "source_size", "target", ((F.col("passes") + F.col("more")) * F.col("size")).cast("long").alias("taken"))
+    return sure.unionByName(torn).select("doc_id", "size", "source_size", "target", (F.when(F.col("size") > 0, F.col("passes") + F.col("more")).otherwise(0)).alias("times"), *(["kept_row"] if carried else []))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kept(frame: DataFrame) -> DataFrame:
-    """``frame`` written to the folder that the cluster names in spark.checkpoint.dir, and read from there.
-    A local folder is set only where that setting is missing, as in tests."""
-    context = frame.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; a local one is set only where spark.checkpoint.dir is missing, as in tests."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """``frame`` written to the folder that the cluster names in spark.checkpoint.dir, and read from there."""
+    folder(frame.sparkSession)
     return frame.checkpoint()
 
 
