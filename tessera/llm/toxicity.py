@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textbytes as tb
 
@@ -347,7 +348,7 @@ def score_texts(docs: DataFrame, net: Network, keep: bool = False) -> DataFrame:
             for batch, data, offsets in tb.blocks(batches):
                 yield pa.RecordBatch.from_arrays([*batch.columns, of(batch, data, offsets)], [*names, "toxic_score"])
 
-        return docs.mapInArrow(run, docs.schema.add("toxic_score", "double"))
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
 
     def run_ids(batches):
         for batch, data, offsets in tb.blocks(batches):
