@@ -11,8 +11,8 @@ length until then; breadth-first backward extension then splits each interval by
 contexts, one length after another, and drops those of one row. It stops at ``LENGTH``: the rows left are
 the windows that repeat.
 
-Documents travel once, by block, and each packed shuffle is read through one RDD, so that its map side
-doesn't run again; blocks are numbered by input partition, the same in every attempt.
+Blocks of documents are numbered by input partition, the same in every pass and attempt; they travel
+twice, to give the bytes asked for and to be cut.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import textbytes as tb
 from .katz import pack, unpack
-from .shared import parts
+from .shared import kept, parts_for
 
 LENGTH, GRAM, SEED = 200, 40, 160
 PLACE_BITS = 24
-STEP = 8 << 20
+STEP, CHUNK_BYTES = 8 << 20, 2 << 20
+BLOBS = "part int, blob binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _U = np.uint64
 _PLACE = _U((1 << PLACE_BITS) - 1)
 
@@ -80,29 +82,44 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _send(docs: DataFrame, buckets: int) -> DataFrame:
-    """part, blob: a block's segments for each table, and the block itself."""
+def _numbered(batches):
+    """Blocks with their numbers, which are the same in every pass over the documents."""
+    for k, (batch, data, offsets) in enumerate(tb.blocks(batches, limit=CHUNK_BYTES)):
+        yield (TaskContext.get().partitionId() << 24) + k, batch.column(0), data, offsets
+
+
+def _rows(pairs):
+    """A batch of (part, blob)."""
+    pairs = list(pairs)
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.binary())], ["part", "blob"])
+
+
+def _segment_blobs(docs: DataFrame, buckets: int) -> DataFrame:
+    """part, blob: each block's segments for each table."""
 
     def run(batches):
-        k = 0
-        for batch, data, offsets in tb.blocks(batches):
-            chunk, k = (TaskContext.get().partitionId() << 24) + k, k + 1
+        for chunk, _, data, offsets in _numbered(batches):
             row, start, end, anchor, whole = segments(data, offsets)
             bucket = (tb.mix(anchor) % _U(buckets)).astype(np.int64)
             order = np.lexsort((whole, anchor, bucket))
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            to, blobs = [], []
-            for b in range(buckets):
+            out = []
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
                 mine = order[cuts[b] : cuts[b + 1]]
-                if len(mine):
-                    to.append(b)
-                    blobs.append(pack(np.array([0, chunk]), anchor[mine], whole[mine], row[mine].astype(np.uint16), start[mine].astype(np.uint32), (end - start)[mine].astype(np.uint32)))
-            ids = batch.column(0)
-            to.append(chunk % buckets)
-            blobs.append(pack(np.array([1, chunk]), ids.fill_null(0).to_numpy().astype(np.int64), np.packbits(ids.is_null().to_numpy(zero_copy_only=False)), offsets, data))
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+                out.append((b, pack(np.array([0, chunk]), anchor[mine], whole[mine], row[mine].astype(np.uint16), start[mine].astype(np.uint32), (end - start)[mine].astype(np.uint32))))
+            yield _rows(out)
+
+    return docs.select("doc_id", "text").mapInArrow(run, BLOBS)
+
+
+def _text_blobs(docs: DataFrame, buckets: int) -> DataFrame:
+    """part, blob: the blocks."""
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part int, blob binary")
+    def run(batches):
+        for chunk, ids, data, offsets in _numbered(batches):
+            yield _rows([(chunk % buckets, pack(np.array([1, chunk]), ids.fill_null(0).to_numpy().astype(np.int64), np.packbits(ids.is_null().to_numpy(zero_copy_only=False)), offsets, data))])
+
+    return docs.select("doc_id", "text").mapInArrow(run, BLOBS)
 
 
 def _by_chunk(kind: int, buckets: int, chunk: np.ndarray, *columns: np.ndarray):
@@ -138,20 +155,26 @@ def _match(blobs, table: int, buckets: int):
     yield from _by_chunk(3, buckets, chunk[ask], row[ask], start[ask], size[ask], times[code[ask]] == 1, np.full(len(ask), table))
 
 
-def _bytes_for(pair, buckets: int):
+def _sorted_out(blobs, kind: int) -> tuple[list, dict[int, list]]:
+    """(blocks as they were packed, what is said of each block)."""
+    texts, said = [], {}
+    for raw in blobs:
+        head, *rest = unpack(raw)
+        if head[0] == 1:
+            texts.append((int(head[1]), raw))
+        elif head[0] == kind:
+            said.setdefault(int(head[1]), []).append(rest)
+    return texts, said
+
+
+def _bytes_for(blobs):
     """(table, blob): the bytes of the segments that tables ask for."""
-    texts, wishes = pair
-    asked: dict[int, list] = {}
-    for r in wishes:
-        head, *rest = unpack(r.blob)
-        if head[0] == 3:
-            asked.setdefault(int(head[1]), []).append(rest)
-    for r in texts:
-        head, *rest = unpack(r.blob)
-        if head[0] != 1 or int(head[1]) not in asked:
+    texts, asked = _sorted_out(blobs, 3)
+    for chunk, raw in texts:
+        if chunk not in asked:
             continue
-        _, _, offsets, data = rest
-        row, start, size, single, table = (np.concatenate(c) for c in zip(*asked[int(head[1])], strict=True))
+        head, _, _, offsets, data = unpack(raw)
+        row, start, size, single, table = (np.concatenate(c) for c in zip(*asked[chunk], strict=True))
         order = np.argsort(table, kind="stable")
         row, start, size, single, table = (c[order] for c in (row, start, size, single, table))
         cuts = np.flatnonzero(np.r_[True, table[1:] != table[:-1]])
@@ -238,21 +261,13 @@ def _expand(blobs, buckets: int):
     yield from _by_chunk(2, buckets, chunk[seg], row[seg], a, a + (found[last] - found[new]) + LENGTH)
 
 
-def _finish(parts_):
+def _finish(blobs):
     """Rows of the result for the blocks of one part."""
-    (texts, spans), more = parts_
-    cut: dict[int, list] = {}
-    for r in [*spans, *more]:
-        head, *rest = unpack(r.blob)
-        if head[0] == 2:
-            cut.setdefault(int(head[1]), []).append(rest)
-    for r in texts:
-        head, *rest = unpack(r.blob)
-        if head[0] != 1:
-            continue
-        ids, null, offsets, data = rest
+    texts, cut = _sorted_out(blobs, 2)
+    for chunk, raw in texts:
+        _, ids, null, offsets, data = unpack(raw)
         mark = np.zeros(len(data) + 1, np.int32)
-        for row, a, b in cut.get(int(head[1]), ()):
+        for row, a, b in cut.get(chunk, ()):
             np.add.at(mark, offsets[row] + a, 1)
             np.add.at(mark, offsets[row] + b, -1)
         # an end at a row's border takes back what starts there, so that sums stay in their rows
@@ -273,19 +288,52 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     Null texts are empty. Texts shorter than ``LENGTH`` bytes lose nothing. Repeated rows are rows each:
     every byte of an equal text of ``LENGTH`` bytes or more goes from both. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    buckets = buckets or parts(spark)
-    blobs = "part int, blob binary"
-    sent = _send(docs, buckets).repartitionById(buckets, "part").select("blob").rdd
-    matched = sent.mapPartitionsWithIndex(lambda k, rows: _match((r.blob for r in rows), k, buckets))
-    answers = spark.createDataFrame(matched, blobs).repartitionById(buckets, "part").select("blob").rdd
-    # both are dealt by the block's number over as many parts, so blocks meet what is said of them
-    wanted = sent.glom().zip(answers.glom()).flatMap(lambda pair: _bytes_for(pair, buckets))
-    tables = spark.createDataFrame(wanted, blobs).repartitionById(buckets, "part").select("blob").rdd
-    expanded = tables.mapPartitions(lambda rows: _expand((r.blob for r in rows), buckets))
-    more = spark.createDataFrame(expanded, blobs).repartitionById(buckets, "part").select("blob").rdd
-    out = sent.glom().zip(answers.glom()).zip(more.glom()).flatMap(_finish)
-    return spark.createDataFrame(out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    docs = docs.select("doc_id", "text")
+    buckets = buckets or parts_for(docs)
+
+    def each_part(function, *more):
+        """A mapInArrow function: one call over all blobs of a part; what it gives is sent on as it comes."""
+
+        def run(batches):
+            out, size = [], 0
+            for pair in function((x for batch in batches for x in batch.column(0).to_pylist()), *more):
+                out.append(pair)
+                size += len(pair[1])
+                if size > 4 << 20:
+                    yield _rows(out)
+                    out, size = [], 0
+            yield _rows(out)
+
+        return run
+
+    def by_part(frame: DataFrame) -> DataFrame:
+        return frame.repartitionById(buckets, "part").select("blob")
+
+    def matching(batches):
+        table = TaskContext.get().partitionId()
+        yield from each_part(_match, table, buckets)(batches)
+
+    # spans and wishes are short; they are read twice
+    answers = kept(by_part(_segment_blobs(docs, buckets)).mapInArrow(matching, BLOBS))
+    texts = _text_blobs(docs, buckets)
+    tables = by_part(texts.unionByName(answers)).mapInArrow(each_part(_bytes_for), BLOBS)
+    more = by_part(tables).mapInArrow(each_part(_expand, buckets), BLOBS)
+
+    def finishing(batches):
+        rows = []
+        for r in _finish(x for batch in batches for x in batch.column(0).to_pylist()):
+            rows.append(r)
+            if len(rows) == 5000:
+                yield _result(rows)
+                rows = []
+        yield _result(rows)
+
+    return by_part(texts.unionByName(answers).unionByName(more)).mapInArrow(finishing, RESULT)
+
+
+def _result(rows: list) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

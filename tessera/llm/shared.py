@@ -26,6 +26,16 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text behind one part of a packed table, so that a part fits a Python worker.
+PART_BYTES = 6 << 20
+
+
+def parts_for(docs: DataFrame, column: str = "text") -> int:
+    """Parts for tables made from all texts: by their bytes, and not fewer than the session's."""
+    size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(parts(docs.sparkSession), -(-size // PART_BYTES))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of all nodes of ``edges`` (a, b: long); root is the smallest node of the component.
 
