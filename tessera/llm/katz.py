@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import parts
+from .shared import parts_for
 
 END, START = np.uint64(0x5EED0000000000E1), np.uint64(0x5EED0000000000A7)
 KEPT = 5  # counts above it are not discounted
 HEAVY = 1000
+CHUNK_BYTES = 2 << 20
 _U = np.uint64
 
 
@@ -158,7 +159,7 @@ def _bigram_blobs(docs: DataFrame, known, buckets: int) -> DataFrame:
 
     def run(batches):
         uni, k = known.value, 0
-        for batch, data, offsets in tb.blocks(batches):
+        for batch, data, offsets in tb.blocks(batches, limit=CHUNK_BYTES):
             chunk, k = (TaskContext.get().partitionId() << 24) + k, k + 1
             held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             word, history, n = tokens(data, offsets)
@@ -293,7 +294,7 @@ def score_texts(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     is 1 (one class of unknown words). An empty table gives no rows.
     """
     spark = docs.sparkSession
-    buckets = buckets or parts(spark)
+    buckets = buckets or parts_for(docs)
     docs = docs.select("doc_id", "text", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
     uni = count_unigrams(docs, buckets)
     known = spark.sparkContext.broadcast(uni)  # HEAVY words at most
