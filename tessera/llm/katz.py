@@ -378,7 +378,7 @@ def _by_chunk(chunk: np.ndarray, row: np.ndarray, values: dict[str, np.ndarray])
     chunk, row = chunk[order], row[order]
     values = {k: v[order] for k, v in values.items()}
     cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else []
-    for a, b in zip(cuts, [*cuts[1:], len(chunk)], strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(chunk)][: len(cuts)], strict=True):
         part = row[a:b]
         sums = [np.bincount(part, v[a:b]) for v in values.values()]
         yield int(chunk[a]), pack(np.array([int(chunk[a]), 2 if len(sums) == 1 else 3]), np.array([len(sums[0])]), *(s.astype(np.uint32) if k == "known" else s for k, s in zip(values, sums, strict=True)))

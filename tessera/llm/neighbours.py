@@ -117,7 +117,7 @@ def _classes(frame: DataFrame, dims: int) -> DataFrame:
             code, _ = pd.factorize(pd.Series([r.tobytes() for r in raw], dtype=object))
             order = np.lexsort((ids, code))
             cuts = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]]) if len(code) else np.zeros(0, int)
-            few = [np.unique(ids[order[a:b]])[: NEAREST + 1].tolist() for a, b in zip(cuts, [*cuts[1:], len(code)], strict=True)]
+            few = [np.unique(ids[order[a:b]])[: NEAREST + 1].tolist() for a, b in zip(cuts, [*cuts[1:], len(code)][: len(cuts)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([raw[order[a]].tobytes() for a in cuts], pa.binary()), pa.array(few, pa.list_(pa.int64()))], ["vec", "ids"])
 
     few = frame.mapInArrow(run, "vec binary, ids array<long>").groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, NEAREST + 1).alias("ids"))

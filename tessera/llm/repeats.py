@@ -126,7 +126,7 @@ def _by_chunk(kind: int, buckets: int, chunk: np.ndarray, *columns: np.ndarray):
     order = np.argsort(chunk, kind="stable")
     chunk = chunk[order]
     cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else []
-    for a, b in zip(cuts, [*cuts[1:], len(chunk)], strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(chunk)][: len(cuts)], strict=True):
         yield int(chunk[a] % buckets), pack(np.array([kind, int(chunk[a])]), *(c[order[a:b]] for c in columns))
 
 
@@ -178,7 +178,7 @@ def _bytes_for(blobs):
         order = np.argsort(table, kind="stable")
         row, start, size, single, table = (c[order] for c in (row, start, size, single, table))
         cuts = np.flatnonzero(np.r_[True, table[1:] != table[:-1]])
-        for a, b in zip(cuts, [*cuts[1:], len(table)], strict=True):
+        for a, b in zip(cuts, [*cuts[1:], len(table)][: len(cuts)], strict=True):
             n = size[a:b]
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[row[a:b]] + start[a:b], n)
             yield int(table[a]), pack(np.array([4, head[1]]), row[a:b], start[a:b], n, single[a:b], data[at])
