@@ -9,6 +9,7 @@ whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -25,7 +26,8 @@ END = 2
 DIMS, BITS = 4, 10
 HASHED = 512
 SAMPLE = 4096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+_MARK = re.compile(rb"(?<=[a-z])([.,!])(?=[\x20\x09-\x0D]|\Z)")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -45,7 +47,9 @@ class WordTokenizer:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
+        # the vocabulary is lower case, and a mark between a letter and white space is a token run of its own:
+        # so fewer words differ (texts that may hold a special token stay as they are)
+        split = [(t if b"<|" in t else _MARK.sub(rb" \1", t.lower())).split() for t in texts]
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
