@@ -27,7 +27,7 @@ WINDOW, STRIDE, HIDDEN = 16, 12, 8
 WORD_SLOTS, WORD_DIM, CHAR_SLOTS, CHAR_DIM = 1 << 14, 4, 1 << 12, 4
 INPUT = WORD_DIM + CHAR_DIM + 2
 GRAM_SLOTS = 1 << 18
-SAMPLE, SAMPLE_CHARS, CUT = 6000, 20_000, 0.3
+SAMPLE, SAMPLE_CHARS, CUT = 3000, 20_000, 0.3
 BATCH_WINDOWS = 4096
 _F = np.float32
 
@@ -60,12 +60,13 @@ class Words:
         left = np.where(at > np.repeat(start, size), low[np.maximum(at - 1, 0)], 1)
         right = np.where(at + 1 < np.repeat(end, size), low[np.minimum(at + 1, max(len(data) - 1, 0))], 2)
         self.trigram = ((left * 0x9E37 + here * 0x85EB + right * 0xC2B3) * 0x27D4EB2F >> 7) % CHAR_SLOTS
+        self.trigram = self.trigram.astype(np.int32)
         self.size = size
         begin = np.repeat(start, size)
         gram = here
         for k in range(1, 5):
             gram = gram * 0x100000001B3 + np.where(at - k >= begin, low[np.maximum(at - k, 0)], 1)
-        self.gram = (tb.mix(gram.astype(np.uint64)) % np.uint64(GRAM_SLOTS)).astype(np.int64)
+        self.gram = (tb.mix(gram.astype(np.uint64)) % np.uint64(GRAM_SLOTS)).astype(np.int32)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(indices of distinct words, -1 for padding; row) of every window. The last window of a text ends
@@ -217,16 +218,32 @@ def _block(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return tb.utf8(pa.array(texts, pa.large_string()))
 
 
-def _odds(row: np.ndarray, item: np.ndarray, y: np.ndarray, items: int) -> np.ndarray:
-    """Smoothed log-odds of a toxic row given each item, over the distinct (row, item) pairs; 0 below three rows."""
-    pair = np.unique(row * np.int64(items) + item)
-    row, item = pair // items, pair % items
-    toxic, seen = np.bincount(item, y[row], items), np.bincount(item, minlength=items)
+def _odds(pieces, y: np.ndarray, items: int) -> np.ndarray:
+    """Smoothed log-odds of a toxic row given each item; 0 for items of fewer than three rows. pieces: arrays of
+    (row, item) pairs, with all pairs of a row in one piece; a pair counts once."""
+    toxic, seen = np.zeros(items), np.zeros(items)
+    for row, item in pieces:
+        pair = np.unique(row * np.int64(items) + item)
+        row, item = pair // items, pair % items
+        toxic += np.bincount(item, y[row], items)
+        seen += np.bincount(item, minlength=items)
     rate, strength = y.mean(), 4.0
     odds = np.log((toxic + strength * rate) / (seen - toxic + strength * (1 - rate))) - np.log(rate / (1 - rate))
     return np.clip(np.where(seen >= 3, odds, 0), -4, 4).astype(_F)
 
 
+def _grams(words: Words, row: np.ndarray):
+    """(row, slot of a run of bytes) pairs, a few hundred rows at a time."""
+    begin = np.cumsum(words.size) - words.size
+    for low in range(0, len(words.counts), 200):
+        a, b = np.searchsorted(row, [low, low + 200])
+        pair = np.unique(row[a:b] * np.int64(len(words.hash)) + words.index[a:b])
+        word = pair % max(len(words.hash), 1)
+        size = words.size[word]
+        at = np.repeat(begin[word], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        yield np.repeat(pair // max(len(words.hash), 1), size), words.gram[at]
+
+
 def train(texts: list[str], labels: np.ndarray, rate: float | None = None, rounds: int = 4, seed: int = 3) -> Network:
     """A network for rows of text with labels 0 or 1; rate: that of label 1 among all rows, if the sample's
     differs. Without rows of both labels it scores their rate alone."""
@@ -245,13 +262,10 @@ def train(texts: list[str], labels: np.ndarray, rate: float | None = None, round
     y = y[fold == 0]
     words = Words(*_block(list(texts[fold == 0])))
     row = tb.row_of(words.counts)
-    odds = _odds(row, words.index, y, len(words.hash))
+    odds = _odds([(row, words.index)], y, len(words.hash))
     ranked = np.argsort(words.hash)
     net.odds = (words.hash[ranked], odds[ranked])
-    pair = np.unique(row * np.int64(len(words.hash)) + words.index)
-    size, begin = words.size[pair % len(words.hash)], (np.cumsum(words.size) - words.size)[pair % len(words.hash)]
-    at = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    net.gram_odds = _odds(np.repeat(pair // len(words.hash), size), words.gram[at], y, GRAM_SLOTS)
+    net.gram_odds = _odds(_grams(words, row), y, GRAM_SLOTS)
     index, row = words.windows()
     clue = net.inputs(words)[:, -2:].max(1)
     first = clue[index].max(1)
