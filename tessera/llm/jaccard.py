@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .katz import pack, unpack
 from .shared import components, kept, parts
 
 BLOCK, PIVOTS = 256, 16
-SKETCH_BITS, CROWDED = 17, 8
+SKETCH_BITS = 22
 _U = np.uint64
 
 
@@ -49,26 +50,26 @@ def _sketch(docs: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(cells, np.int64)
         for _, data, offsets in tb.blocks(batches):
             total += np.bincount((sets_of(data, offsets, size)[0] >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
-        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([p.tobytes() for p in np.split(total, pieces)], pa.binary())], ["piece", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([pack(p.astype(np.uint32)) for p in np.split(total, pieces)], pa.binary())], ["piece", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "counts"])
+                sums[k] = sums.get(k, 0) + unpack(raw)[0].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(x) for x in sums.values()], pa.binary())], ["piece", "counts"])
 
     rows = docs.select("text").mapInArrow(count, "piece int, counts binary").repartition(parts(docs.sparkSession), "piece").mapInArrow(add, "piece int, counts binary").collect()
     out = np.zeros(cells, np.int64)
     for r in rows:
-        out.reshape(pieces, -1)[r.piece] = np.frombuffer(r.counts, np.int64)
+        out.reshape(pieces, -1)[r.piece] = unpack(r.counts)[0]
     return out
 
 
 def _crowding(sketch: np.ndarray) -> np.ndarray:
-    """A small rank of each cell: how often its count doubles over ``CROWDED`` times the median."""
+    """A small rank of each cell: how often its count doubles the median."""
     base = max(1.0, float(np.median(sketch)))
-    return np.clip(np.ceil(np.log2(np.maximum(sketch, 1) / base)), 0, 63).astype(np.int64)
+    return np.clip(np.ceil(np.log2(np.maximum(sketch, 1) / base)), 0, 63).astype(np.uint8)
 
 
 def _prefix_postings(docs: DataFrame, size: int, limit: Fraction, crowding: np.ndarray, buckets: int) -> DataFrame:
@@ -92,7 +93,7 @@ def _prefix_postings(docs: DataFrame, size: int, limit: Fraction, crowding: np.n
             order = np.argsort(bucket, kind="stable")
             values, row, bucket = values[order], row[order], bucket[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
-            blobs = [np.concatenate([values[a:b], sid[row[a:b]].view(_U), n[row[a:b]].astype(_U)]).tobytes() for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+            blobs = [np.concatenate([values[a:b], sid[row[a:b]].view(_U), n[row[a:b]].astype(_U)]).tobytes() for a, b in zip(cuts, [*cuts[1:], len(bucket)][: len(cuts)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return docs.select("text").mapInArrow(run, "bucket int, blob binary")
