@@ -30,10 +30,10 @@ def parts(spark: SparkSession) -> int:
 PART_BYTES = 6 << 20
 
 
-def parts_for(docs: DataFrame, column: str = "text") -> int:
+def parts_for(docs: DataFrame, column: str = "text", each: int = PART_BYTES) -> int:
     """Parts for tables made from all texts: by their bytes, and not fewer than the session's."""
     size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(parts(docs.sparkSession), -(-size // PART_BYTES))
+    return max(parts(docs.sparkSession), -(-size // each))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
