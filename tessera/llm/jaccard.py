@@ -4,8 +4,12 @@
 2. All classes are indexed by their prefixes under one global order of shingles: those of crowded cells of
    a document-frequency sketch come last. Two sets that link share a prefix shingle. Within an index list,
    ordered by size, neighbours whose sizes can link are chained: classes that are in no common chain
-   component can't link, and are never compared.
-3. Each chain component is compared exactly. One of more than ``BLOCK`` sets is cut into blocks, first each
+   component can't link, and are never compared. A large chain component is chained anew by segments: all
+   shingles are dealt to a number of segments by their hash, more than the shingles in which two linked sets
+   of these sizes can differ, so that linked sets agree in a whole segment. A segment holds several shingles,
+   so sets that share but a passage seldom agree in one.
+3. Each chain component is compared exactly. One of more than ``BLOCK`` units (a set is one, and one more
+   for every ``UNIT`` shingles, so that blocks are bounded in bytes) is cut into blocks, first each
    by itself with some pivots of the component, so that most sets find their links; then only pairs of
    blocks that are not yet joined. Lists are cut at the positions where sizes can't link (block skipping),
    and a set's overlaps are derived from those of the set before it where they differ in few shingles: only
@@ -25,7 +29,7 @@ from . import textbytes as tb
 from .katz import pack, unpack
 from .shared import components, kept, parts
 
-BLOCK, PIVOTS = 256, 16
+BLOCK, UNIT, PIVOTS = 1024, 1024, 16
 SKETCH_BITS = 22
 _U = np.uint64
 
@@ -93,21 +97,78 @@ def _prefix_postings(docs: DataFrame, size: int, limit: Fraction, crowding: np.n
             order = np.argsort(bucket, kind="stable")
             values, row, bucket = values[order], row[order], bucket[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
-            blobs = [np.concatenate([values[a:b], sid[row[a:b]].view(_U), n[row[a:b]].astype(_U)]).tobytes() for a, b in zip(cuts, [*cuts[1:], len(bucket)][: len(cuts)], strict=True)]
+            blobs = [pack(values[a:b], sid[row[a:b]], n[row[a:b]].astype(np.uint32)) for a, b in zip(cuts, [*cuts[1:], len(bucket)][: len(cuts)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return docs.select("text").mapInArrow(run, "bucket int, blob binary")
 
 
+def size_class(n: int, limit: Fraction) -> tuple[int, int, int]:
+    """(class of a size, last size of it, last size of the next). Sets that link are of one class or neighbours."""
+    first, k = 1, 0
+    while True:
+        then = first * limit.denominator // limit.numerator + 1
+        if n < then:
+            return k, then - 1, then * limit.denominator // limit.numerator
+        first, k = then, k + 1
+
+
+def segments(values: np.ndarray, limit: Fraction) -> np.ndarray:
+    """Hashes of a set's segments, once as the larger and once as the smaller of two neighbouring classes.
+
+    Two linked sets differ in at most ``differ`` shingles, so of more segments some are equal. Empty segments
+    count only for a set with so many that the equal ones could all be empty."""
+    up, down = limit.numerator, limit.denominator
+    k, last, after = size_class(len(values), limit)
+    out = []
+    for c, largest in ((k, last), (k + 1, after)):
+        differ = 2 * largest * (down - up) // (down + up)
+        many = differ + 2 + differ // 16
+        place = (tb.mix(values ^ _U(0x5E61)) % _U(many)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        at = np.flatnonzero(np.r_[True, place[order][1:] != place[order][:-1]])
+        held = np.zeros(many, bool)
+        held[place] = True
+        sums = np.zeros(many, _U)
+        sums[held] = np.add.reduceat(tb.mix(values[order] + _U(0x7A31)), at)
+        use = held if held.sum() > differ else np.ones(many, bool)
+        name = np.arange(many, dtype=_U) + _U(c << 40)
+        out.append(tb.mix(tb.mix(name) ^ sums)[use])
+    return np.concatenate(out)
+
+
+def _segment_postings(sets: DataFrame, limit: Fraction, buckets: int) -> DataFrame:
+    """bucket, blob: hashes of the sets' segments, with class ids and sizes."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                own = [np.frombuffer(x, _U) for x in part.column(1).to_pylist()]
+                found = [segments(x, limit) for x in own]
+                n = np.array([len(x) for x in found])
+                values = np.concatenate(found)
+                sid = np.repeat(part.column(0).to_numpy(), n)
+                size = np.repeat(np.array([len(x) for x in own], np.uint32), n)
+                bucket = (tb.mix(values) % _U(buckets)).astype(np.int32)
+                order = np.lexsort((sid, bucket))
+                values, sid, size, bucket = values[order], sid[order], size[order], bucket[order]
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                blobs = [pack(values[a:b], sid[a:b], size[a:b]) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    return sets.select("sid", "shingles").mapInArrow(run, "bucket int, blob binary")
+
+
 def _chains(postings: DataFrame, limit: Fraction, buckets: int) -> DataFrame:
     """a, b: neighbours by size in an index list whose sizes can link."""
     up, down = limit.numerator, limit.denominator
 
     def run(batches):
-        found = [np.frombuffer(x, _U).reshape(3, -1) for b in batches for x in b.column(0).to_pylist()]
+        found = [unpack(x) for b in batches for x in b.column(0).to_pylist()]
         if not found:
             return
-        token, sid, n = np.concatenate(found, 1)
+        token, sid, n = (np.concatenate(c) for c in zip(*found, strict=True))
         # only lists of two sets or more are ordered
         order = np.argsort(token)
         token, sid, n = token[order], sid[order], n[order].astype(np.int64)
@@ -117,7 +178,7 @@ def _chains(postings: DataFrame, limit: Fraction, buckets: int) -> DataFrame:
         order = np.lexsort((sid, n, token))
         token, sid, n = token[order], sid[order], n[order]
         near = (token[1:] == token[:-1]) & (sid[1:] != sid[:-1]) & (down * n[:-1] >= up * n[1:])
-        pairs = np.unique(np.stack([sid[:-1][near], sid[1:][near]], 1), axis=0).view(np.int64)
+        pairs = np.unique(np.stack([sid[:-1][near], sid[1:][near]], 1), axis=0)
         for at in range(0, len(pairs), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[at : at + (1 << 16), k])) for k in (0, 1)], ["a", "b"])
 
@@ -216,9 +277,10 @@ def link_components(docs: DataFrame, size: int = 4, limit: Fraction = Fraction(8
     chains = _chains(_prefix_postings(named, size, limit, crowding, buckets), limit, buckets)
     members = components(chains).withColumnRenamed("node", "sid")
     # a class is read from the row with its smallest id
-    classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    cells = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    wanted = members.join(cells, "root").join(classes, "sid").select("doc_id", F.col("sid").alias("want"), "root", "m")
+    classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.expr(f"1 + min(n_shingles) div {UNIT}").alias("units"))
+    wanted = members.join(classes, "sid").select("doc_id", F.col("sid").alias("want"), "root", "units")
+    cells = wanted.groupBy("root").agg(F.sum("units").alias("m"))
+    wanted = kept(wanted.join(cells, "root"))
 
     def read_sets(batches):
         for batch, data, offsets in tb.blocks(batches):
@@ -226,15 +288,23 @@ def link_components(docs: DataFrame, size: int = 4, limit: Fraction = Fraction(8
             ends = np.cumsum(n)
             right = np.flatnonzero(sid == batch.column(1).to_numpy())
             blobs = [values[ends[i] - n[i] : ends[i]].tobytes() for i in right.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(sid[right]), *(batch.column(k).take(pa.array(right)) for k in (2, 3)), pa.array(blobs, pa.binary())], ["sid", "root", "m", "shingles"])
-
-    sets = kept(named.join(wanted, "doc_id").select("text", "want", "root", "m").mapInArrow(read_sets, "sid long, root long, m long, shingles binary"))
+            yield pa.RecordBatch.from_arrays([pa.array(sid[right]), *(batch.column(k).take(pa.array(right)) for k in (2, 3, 4)), pa.array(blobs, pa.binary())], ["sid", "root", "units", "m", "shingles"])
+
+    sets = kept(named.join(wanted, "doc_id").select("text", "want", "root", "units", "m").mapInArrow(read_sets, "sid long, root long, units long, m long, shingles binary"))
+    crowd = sets.where(F.col("m") > BLOCK)
+    if not crowd.isEmpty():
+        again = components(_chains(_segment_postings(crowd, limit, buckets), limit, buckets)).selectExpr("node as s_sid", "root as s_root")
+        again = again.join(crowd.selectExpr("sid as c_sid", "units as c_units"), F.col("s_sid") == F.col("c_sid"))
+        total = again.groupBy("s_root").agg(F.sum("c_units").alias("s_m")).withColumnRenamed("s_root", "t_root")
+        again = again.join(total, F.col("s_root") == F.col("t_root")).select("s_sid", "s_root", "s_m")
+        crowd = kept(crowd.join(again, F.col("sid") == F.col("s_sid")).selectExpr("sid", "s_root as root", "units", "s_m as m", "shingles"))
+        sets = sets.where(F.col("m") <= BLOCK).unionByName(crowd)
     several = F.expr(f"cast(ceil(m / {BLOCK}) as int)")
     mixed = F.xxhash64("sid", F.lit("block"))
     pivot = (several > 1) & (F.expr(f"pmod(xxhash64(sid, 'pivot'), greatest(1L, m div {PIVOTS}))") == 0)
     first = sets.select("sid", "root", "shingles", F.explode(F.when(pivot, F.sequence(F.lit(0), several - 1)).otherwise(F.array(F.pmod(mixed, several).cast("int")))).alias("k"))
     found = kept(_compare(first.selectExpr("struct(root, k) as block", "sid", "sid as side", "shingles"), limit, spark))
-    large = sets.where(F.col("m") > BLOCK)
+    large = crowd.where(F.col("m") > BLOCK)
     if not large.isEmpty():
         found = found.unionByName(_across(large, found, limit, spark))
     joined = components(found).selectExpr("node as sid", "root as joined")
@@ -250,8 +320,8 @@ def _across(large: DataFrame, found: DataFrame, limit: Fraction, spark: SparkSes
     """Links between blocks of large chain components. Sets that are joined already share a side; sides of
     many sets fill blocks of their own, small ones are put together. Pairs of blocks of one side are left out."""
     joined = components(found).selectExpr("node as j_sid", "root as j_root")
-    sides = large.select("sid", "root", "m").join(joined, F.col("sid") == F.col("j_sid"), "left").selectExpr("sid", "root", "m", "coalesce(j_root, sid) as side")
-    count = sides.groupBy("side").agg(F.count(F.lit(1)).alias("in_side")).withColumnRenamed("side", "s_side")
+    sides = large.select("sid", "root", "units", "m").join(joined, F.col("sid") == F.col("j_sid"), "left").selectExpr("sid", "root", "units", "m", "coalesce(j_root, sid) as side")
+    count = sides.groupBy("side").agg(F.sum("units").alias("in_side")).withColumnRenamed("side", "s_side")
     sides = sides.join(count, F.col("side") == F.col("s_side"))
     own = F.col("in_side") >= BLOCK // 2
     sides = kept(sides.select("sid", "root", "side", F.when(own, F.col("side")).alias("own"),
