@@ -1,13 +1,11 @@
 """Exact Jaccard join of word-shingle sets, with components of the links.
 
 1. Equal sets collapse to one class (a 64-bit hash of the set and its size).
-2. All classes are indexed by their prefixes under one global order of shingles: those of crowded cells of
-   a document-frequency sketch come last. Two sets that link share a prefix shingle. Within an index list,
-   ordered by size, neighbours whose sizes can link are chained: classes that are in no common chain
-   component can't link, and are never compared. A large chain component is chained anew by segments: all
-   shingles are dealt to a number of segments by their hash, more than the shingles in which two linked sets
-   of these sizes can differ, so that linked sets agree in a whole segment. A segment holds several shingles,
-   so sets that share but a passage seldom agree in one.
+2. All classes are indexed by segments: a set's shingles are dealt to segments by their hash, more segments
+   than the shingles in which two linked sets of these sizes can differ, so that linked sets agree in a whole
+   segment. A segment holds several shingles, so sets that share but a passage seldom agree in one. Within an
+   index list, ordered by size, neighbours whose sizes can link are chained: classes that are in no common
+   chain component can't link, and are never compared.
 3. Each chain component is compared exactly. One of more than ``BLOCK`` units (a set is one, and one more
    for every ``UNIT`` shingles, so that blocks are bounded in bytes) is cut into blocks, first each
    by itself with some pivots of the component, so that most sets find their links; then only pairs of
@@ -19,6 +17,7 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,6 @@ from .katz import pack, unpack
 from .shared import components, kept, parts
 
 BLOCK, UNIT, PIVOTS = 1024, 1024, 16
-SKETCH_BITS = 22
 _U = np.uint64
 
 
@@ -46,63 +44,7 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     return values, n, tb.signed(tb.mix(sid ^ tb.mix(n.astype(_U))))
 
 
-def _sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """Document frequency by cell of the shingles' hash: a fixed number of counts, over all documents."""
-    cells, pieces = 1 << SKETCH_BITS, 32
-
-    def count(batches):
-        total = np.zeros(cells, np.int64)
-        for _, data, offsets in tb.blocks(batches):
-            total += np.bincount((sets_of(data, offsets, size)[0] >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
-        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([pack(p.astype(np.uint32)) for p in np.split(total, pieces)], pa.binary())], ["piece", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + unpack(raw)[0].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(x) for x in sums.values()], pa.binary())], ["piece", "counts"])
-
-    rows = docs.select("text").mapInArrow(count, "piece int, counts binary").repartition(parts(docs.sparkSession), "piece").mapInArrow(add, "piece int, counts binary").collect()
-    out = np.zeros(cells, np.int64)
-    for r in rows:
-        out.reshape(pieces, -1)[r.piece] = unpack(r.counts)[0]
-    return out
-
-
-def _crowding(sketch: np.ndarray) -> np.ndarray:
-    """A small rank of each cell: how often its count doubles the median."""
-    base = max(1.0, float(np.median(sketch)))
-    return np.clip(np.ceil(np.log2(np.maximum(sketch, 1) / base)), 0, 63).astype(np.uint8)
-
-
-def _prefix_postings(docs: DataFrame, size: int, limit: Fraction, crowding: np.ndarray, buckets: int) -> DataFrame:
-    """bucket, blob: the prefix shingles of a block's distinct sets, with class ids and sizes."""
-    up, down = limit.numerator, limit.denominator
-
-    def run(batches):
-        for _, data, offsets in tb.blocks(batches):
-            values, n, sid = sets_of(data, offsets, size)
-            row = tb.row_of(n)
-            first = np.zeros(len(n), bool)
-            first[np.unique(sid, return_index=True)[1]] = True
-            rank = crowding[(values >> _U(64 - SKETCH_BITS)).astype(np.int64)]
-            order = np.lexsort((values, rank, row))
-            values, row = values[order], row[order]
-            place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-            prefix = n - (up * n + down - 1) // down + 1
-            use = (place < prefix[row]) & first[row]
-            values, row = values[use], row[use]
-            bucket = (tb.mix(values) % _U(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            values, row, bucket = values[order], row[order], bucket[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
-            blobs = [pack(values[a:b], sid[row[a:b]], n[row[a:b]].astype(np.uint32)) for a, b in zip(cuts, [*cuts[1:], len(bucket)][: len(cuts)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-
-    return docs.select("text").mapInArrow(run, "bucket int, blob binary")
-
-
+@lru_cache(1 << 16)
 def size_class(n: int, limit: Fraction) -> tuple[int, int, int]:
     """(class of a size, last size of it, last size of the next). Sets that link are of one class or neighbours."""
     first, k = 1, 0
@@ -137,27 +79,28 @@ def segments(values: np.ndarray, limit: Fraction) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _segment_postings(sets: DataFrame, limit: Fraction, buckets: int) -> DataFrame:
-    """bucket, blob: hashes of the sets' segments, with class ids and sizes."""
+def _segment_postings(docs: DataFrame, size: int, limit: Fraction, buckets: int) -> DataFrame:
+    """bucket, blob: hashes of the segments of a block's distinct sets, with class ids and sizes."""
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                own = [np.frombuffer(x, _U) for x in part.column(1).to_pylist()]
-                found = [segments(x, limit) for x in own]
-                n = np.array([len(x) for x in found])
-                values = np.concatenate(found)
-                sid = np.repeat(part.column(0).to_numpy(), n)
-                size = np.repeat(np.array([len(x) for x in own], np.uint32), n)
-                bucket = (tb.mix(values) % _U(buckets)).astype(np.int32)
-                order = np.lexsort((sid, bucket))
-                values, sid, size, bucket = values[order], sid[order], size[order], bucket[order]
-                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                blobs = [pack(values[a:b], sid[a:b], size[a:b]) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-
-    return sets.select("sid", "shingles").mapInArrow(run, "bucket int, blob binary")
+        for _, data, offsets in tb.blocks(batches):
+            values, n, sid = sets_of(data, offsets, size)
+            start = np.cumsum(n) - n
+            rows = np.unique(sid, return_index=True)[1]
+            rows = rows[n[rows] > 0]
+            if not len(rows):
+                continue
+            found = [segments(values[start[r] : start[r] + n[r]], limit) for r in rows.tolist()]
+            own = np.repeat(rows, [len(x) for x in found])
+            found = np.concatenate(found)
+            bucket = (tb.mix(found) % _U(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            found, own, bucket = found[order], own[order], bucket[order]
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            blobs = [pack(found[a:b], sid[own[a:b]], n[own[a:b]].astype(np.uint32)) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    return docs.select("text").mapInArrow(run, "bucket int, blob binary")
 
 
 def _chains(postings: DataFrame, limit: Fraction, buckets: int) -> DataFrame:
@@ -273,8 +216,7 @@ def link_components(docs: DataFrame, size: int = 4, limit: Fraction = Fraction(8
 
     rows = kept(docs.mapInArrow(signed_rows, "doc_id long, n_shingles long, sid long"))
     named = docs.where("doc_id is not null")
-    crowding = _crowding(_sketch(named, size))
-    chains = _chains(_prefix_postings(named, size, limit, crowding, buckets), limit, buckets)
+    chains = _chains(_segment_postings(named, size, limit, buckets), limit, buckets)
     members = components(chains).withColumnRenamed("node", "sid")
     # a class is read from the row with its smallest id
     classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.expr(f"1 + min(n_shingles) div {UNIT}").alias("units"))
@@ -291,20 +233,12 @@ def link_components(docs: DataFrame, size: int = 4, limit: Fraction = Fraction(8
             yield pa.RecordBatch.from_arrays([pa.array(sid[right]), *(batch.column(k).take(pa.array(right)) for k in (2, 3, 4)), pa.array(blobs, pa.binary())], ["sid", "root", "units", "m", "shingles"])
 
     sets = kept(named.join(wanted, "doc_id").select("text", "want", "root", "units", "m").mapInArrow(read_sets, "sid long, root long, units long, m long, shingles binary"))
-    crowd = sets.where(F.col("m") > BLOCK)
-    if not crowd.isEmpty():
-        again = components(_chains(_segment_postings(crowd, limit, buckets), limit, buckets)).selectExpr("node as s_sid", "root as s_root")
-        again = again.join(crowd.selectExpr("sid as c_sid", "units as c_units"), F.col("s_sid") == F.col("c_sid"))
-        total = again.groupBy("s_root").agg(F.sum("c_units").alias("s_m")).withColumnRenamed("s_root", "t_root")
-        again = again.join(total, F.col("s_root") == F.col("t_root")).select("s_sid", "s_root", "s_m")
-        crowd = kept(crowd.join(again, F.col("sid") == F.col("s_sid")).selectExpr("sid", "s_root as root", "units", "s_m as m", "shingles"))
-        sets = sets.where(F.col("m") <= BLOCK).unionByName(crowd)
     several = F.expr(f"cast(ceil(m / {BLOCK}) as int)")
     mixed = F.xxhash64("sid", F.lit("block"))
     pivot = (several > 1) & (F.expr(f"pmod(xxhash64(sid, 'pivot'), greatest(1L, m div {PIVOTS}))") == 0)
     first = sets.select("sid", "root", "shingles", F.explode(F.when(pivot, F.sequence(F.lit(0), several - 1)).otherwise(F.array(F.pmod(mixed, several).cast("int")))).alias("k"))
     found = kept(_compare(first.selectExpr("struct(root, k) as block", "sid", "sid as side", "shingles"), limit, spark))
-    large = crowd.where(F.col("m") > BLOCK)
+    large = sets.where(F.col("m") > BLOCK)
     if not large.isEmpty():
         found = found.unionByName(_across(large, found, limit, spark))
     joined = components(found).selectExpr("node as sid", "root as joined")
