@@ -59,6 +59,9 @@ add("jn01_unpaired", "select count(*) as dropped_unpaired from documents d where
 add("jn04_clusters", "select d.doc_id, coalesce(cast(l.quality as string), concat(d.lang, ':', cast(d.doc_id as string))) as cluster from documents d left join labels l on l.doc_id = d.doc_id")
 add("jn05_overlay", "select model, arm, gpu_s, event_id from (select *, row_number() over (partition by model, arm order by ord desc) as r from log) t where r = 1", LOG)
 add("jn06_corrections", "select a.event_id as before_id, b.event_id as after_id, a.gpu_s as before_s, b.gpu_s as after_s from log a join log b on a.model = b.model and a.arm = b.arm and b.event_id > a.event_id and b.event_id <= a.event_id + 200 where a.gpu_s <> b.gpu_s", LOG)
+# each event that changes its key's value, beside the event of the key before it, however far apart: the reference holds one score a key
+add("jn06_all_corrections", """select before_id, event_id as after_id, before_s, after_s from (select event_id, value as after_s, lag(event_id) over (partition by user_id, event_type order by event_id) as before_id,
+ lag(value) over (partition by user_id, event_type order by event_id) as before_s from events) t where before_id is not null and before_s is distinct from after_s""")
 add("jn07_first_wins", "select model, arm, event_id from (select *, row_number() over (partition by model, arm order by ord) as r from log) t where r = 1", LOG)
 add("jn08_task_tier", "select v.tier, count(*) as tasks, count(l.doc_id) as labelled, count_if(l.doc_id is null) as missing from documents d cross join (select * from (values (0), (1), (2)) v(tier)) v left join labels l on l.doc_id = d.doc_id group by v.tier")
 add("jn09_feedback", "select d.doc_id, case when l.quality is null then 'unmatched' else 'human' end as origin from documents d left join labels l on l.doc_id = d.doc_id")

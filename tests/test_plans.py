@@ -5,6 +5,7 @@ from decimal import Decimal
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,23 @@ def test_jaccard_join_against_brute_force(spark):
 
 def test_hash_mod_folds_the_whole_digest(spark):
     assert spark.range(1).select(t.hash_mod(F.lit("ab"), 20).alias("m")).first().m == 19
+
+
+def _stored(spark, folder, **tables):
+    for name, (rows, ddl) in tables.items():
+        spark.createDataFrame(rows, ddl).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_all_corrections_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i * 90, int(rng.integers(4)), "ab"[int(rng.integers(2))], [0.5, 1.5, None][int(rng.integers(3))]) for i in range(120)]
+    sf = _stored(spark, tmp_path, events=(rows, "event_id long, user_id long, event_type string, value double"))
+    want, last = [], {}
+    for i, user, kind, value in rows:
+        if (user, kind) in last and last[user, kind][1] != value:
+            want.append((last[user, kind][0], i, last[user, kind][1], value))
+        last[user, kind] = i, value
+    assert max(b - a for a, b, *_ in want) > 200
+    got = [(r.before_id, r.after_id, r.before_s, r.after_s) for r in registry.QUERIES["jn06_all_corrections"](spark, sf).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
