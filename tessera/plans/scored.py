@@ -146,6 +146,12 @@ add("st02_cluster_bootstrap", """select round(percentile_cont(0.025) within grou
  (select b, cluster, count(*) as w from (select bs.b, c.cluster from bs cross join slots s join slots c on c.slot = @h8[concat(cast(bs.b as string), '|', cast(s.slot as string))] % s.total) p group by b, cluster) draw
  join (select cluster, count(*) as m, sum(case when tier = 2 then correct else 0 end) as good2, sum(case when tier = 0 then correct else 0 end) as good0 from scores group by cluster) f on f.cluster = draw.cluster group by b) t""",
  SCORES, "slots as (select cluster, row_number() over (order by cluster) - 1 as slot, count(*) over () as total from (select distinct cluster from scores) c)", "bs as (select doc_id as b from documents where doc_id < 200)")
+# 10,000 resamples of clusters within each domain; all tiers share the draw
+add("st02_stratified_bootstrap", """select round(percentile_cont(0.025) within group (order by d), 6) as lo, round(percentile_cont(0.975) within group (order by d), 6) as hi, count(d) as n_valid from (select b, sum(c.good2 - c.good0) / cast(sum(c.m) as double) as d
+ from bs cross join slots s join slots c on c.domain = s.domain and c.slot = @h8[concat(cast(bs.b as string), '|', s.domain, '|', cast(s.slot as string))] % s.total group by b) t""",
+ SCORES, """held as (select coalesce(domain, '') as domain, coalesce(cluster, '') as cluster, sum(case when tier = 0 then 1 else 0 end) as m, sum(case when tier = 2 then correct else 0 end) as good2, sum(case when tier = 0 then correct else 0 end) as good0 from scores group by 1, 2)""",
+ "slots as (select *, row_number() over (partition by domain order by cluster) - 1 as slot, count(*) over (partition by domain) as total from held)",
+ "digits as (select * from (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) v(x))", "bs as (select a.x * 1000 + h.x * 100 + t.x * 10 + o.x as b from digits a cross join digits h cross join digits t cross join digits o)")
 add("st04_mcnemar_counts", "select domain, count_if(c0 = 1 and c2 = 0) as b, count_if(c0 = 0 and c2 = 1) as c from played group by domain", ROUTED)
 add("st05_holm", """select domain, p, least(1e0, max((m - r + 1) * p) over (order by r rows between unbounded preceding and current row)) as adjusted from (select domain, p, row_number() over (order by p, domain) as r, count(*) over () as m from
  (select lang as domain, cast(@h8[lang] % 1000 as double) / 1e4 as p from documents group by lang) a) t""")

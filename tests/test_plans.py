@@ -1,5 +1,6 @@
 """Queries against the checking engine on the smallest tables, and operators on small cases."""
 
+import hashlib
 import math
 from decimal import Decimal
 from pathlib import Path
@@ -85,3 +86,25 @@ def test_all_corrections_against_brute_force(spark, tmp_path):
     assert max(b - a for a, b, *_ in want) > 200
     got = [(r.before_id, r.after_id, r.before_s, r.after_s) for r in registry.QUERIES["jn06_all_corrections"](spark, sf).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_stratified_bootstrap_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    docs = [(i, "", ["en", "de", None][int(rng.integers(3))], [f"s{int(rng.integers(5))}", None][int(i % 9 == 0)], 50) for i in range(90)]
+    labels = [(i, int(rng.integers(2)), 0) for i in range(80)]
+    sf = _stored(spark, tmp_path, documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), labels=(labels, "doc_id long, quality int, toxic int"))
+    h8 = lambda x: int(hashlib.sha256(x.encode()).hexdigest()[:8], 16)
+    right = lambda i, quality, tier: 1 - quality if h8(f"c|{i}|{tier}") % 10 < 3 - tier else quality
+    held: dict = {}
+    for i, quality, _ in labels:
+        held.setdefault(docs[i][2] or "", {}).setdefault(docs[i][3] or "", []).append(right(i, quality, 2) - right(i, quality, 0))
+    values = []
+    for b in range(10_000):
+        drawn = []
+        for domain, clusters in held.items():
+            order = [clusters[c] for c in sorted(clusters)]
+            drawn += [x for slot in range(len(order)) for x in order[h8(f"{b}|{domain}|{slot}") % len(order)]]
+        values.append(np.mean(drawn))
+    got = registry.QUERIES["st02_stratified_bootstrap"](spark, sf).first()
+    assert got.n_valid == 10_000
+    assert [float(got.lo), float(got.hi)] == pytest.approx(np.percentile(values, [2.5, 97.5]), abs=2e-6)
