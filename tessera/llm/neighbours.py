@@ -2,8 +2,8 @@
 
 Vectors are turned by fast pseudo-rotations (three rounds of random signs and a Hadamard transform); the
 nearest signed axis is a vector's hash, joined to that of a second, shorter rotation whose dimension grows
-with the number of vectors. Each of ``TABLES`` tables is probed at the ``PROBES`` cells nearest to a query, and
-the candidates are reranked by their exact inner product in double precision.
+with the number of vectors. Each of ``TABLES`` tables is probed at the cells nearest to a query, more of them as
+the cells grow (``Shape.probes``), and the candidates are reranked by their exact inner product in double precision.
 
 The largest inner product is wanted, so vectors are first brought to one length by an added coordinate.
 Equal vectors are one class, with its smallest ids: a vector that many rows share fills no cell.
@@ -11,6 +11,8 @@ Equal vectors are one class, with its smallest ids: a vector that many rows shar
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +25,9 @@ from .shared import kept, parts
 from .textbytes import mix
 
 NEAREST, EVERY = 20, 20
-TABLES, PROBES, SEED = 16, 48, 29
+TABLES, SEED = 16, 29
+#: Cells probed in a table of 2048, and classes that the probed cells hold at least.
+PROBES, LEAST = 48, 500
 _U = np.uint64
 
 
@@ -59,7 +63,9 @@ class Shape:
         # about 50 classes a cell: the second rotation takes what the first leaves
         cells = max(1.0, classes / 50 / (2 * self.padded))
         self.second = 0 if classes <= 4000 else min(self.padded, max(8, 1 << int(np.log2(cells))))
-        self.probes = 2 * self.padded if classes <= 256 else self.padded // 4 if not self.second else PROBES
+        # as the power 2/3 of the cells: recall rises with the classes, work stays below their square
+        share = max(PROBES / 2048 * (2048 / self.cells) ** (1 / 3), LEAST / max(1, classes))
+        self.probes = min(self.cells, math.ceil(self.cells * share))
 
     @property
     def cells(self) -> int:
@@ -91,6 +97,8 @@ class Shape:
 
     def probed(self, x: np.ndarray, table: int) -> np.ndarray:
         """The cells nearest to each query by the loss of its coordinates against the best axes."""
+        if len(x) > (most := max(1, (1 << 21) // self.cells)):  # queries times cells at once
+            return np.concatenate([self.probed(x[a : a + most], table) for a in range(0, len(x), most)])
         loss, code = None, None
         for y in self.axes(x, table):
             most = min(y.shape[1], self.probes)
@@ -102,7 +110,7 @@ class Shape:
             else:
                 loss = (loss[:, :, None] + own[:, None]).reshape(len(x), -1)
                 code = (code[:, :, None] * y.shape[1] + order[:, None]).reshape(len(x), -1)
-        best = np.argsort(loss, 1, kind="stable")[:, : self.probes]
+        best = np.argpartition(loss, self.probes - 1, 1)[:, : self.probes] if self.probes < loss.shape[1] else np.arange(loss.shape[1])[None].repeat(len(x), 0)
         return np.take_along_axis(code, best, 1) + table * self.cells
 
 
@@ -149,7 +157,7 @@ def _dealt(frame: DataFrame, shape: Shape, buckets: int, query: bool) -> DataFra
                 if len(mine):
                     used, local = np.unique(row[mine], return_inverse=True)
                     to.append(b)
-                    blobs.append(pack(np.array([int(query)]), ids[used], x[used].ravel(), local.astype(np.int32), cell[mine]))
+                    blobs.append(pack(np.array([int(query)]), ids[used], x[used].ravel(), local.astype(np.int32), cell[mine].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     return frame.mapInArrow(run, "part int, blob binary")
