@@ -61,6 +61,32 @@ def jaccard_join(left: DataFrame, right: DataFrame, limit: float = 0.8, k: int =
     return over.where(F.col("overlap") >= limit * (F.col("size_a") + F.col("size_b") - F.col("overlap")) - 1e-9)
 
 
+#: Numbers, words and signs of a normal form, as the reference splits a problem.
+_TOKEN, _NUMBER = r"([0-9]+(?:\.[0-9]+)?|[\p{L}\p{N}_]+|[-+*/^=<>()|!])", r"^[0-9]+(\.[0-9]+)?$"
+ALPHABETIC, NUMBERS, NUMBERS_JACCARD = 10, 2, 0.5
+
+
+def _problems(frame: DataFrame, key: str, least: int) -> DataFrame:
+    """key, toks, nums (sorted), alpha: of texts with ALPHABETIC tokens of letters and ``least`` numbers or more."""
+    toks = F.coalesce(F.regexp_extract_all(t.fold(F.col("text")), F.lit(_TOKEN), F.lit(1)), F.array().cast("array<string>"))
+    out = frame.select(F.col(key), toks.alias("toks"))
+    out = out.withColumn("nums", F.array_sort(F.filter("toks", lambda w: w.rlike(_NUMBER)))).withColumn("alpha", F.filter("toks", lambda w: w.rlike(r"^\p{L}+$")))
+    return out.where((F.size("alpha") >= ALPHABETIC) & (F.size("nums") >= least))
+
+
+def template_hits(docs: DataFrame, evals: DataFrame) -> DataFrame:
+    """doc_id, item_id: equal token sequences with each number masked."""
+    key = F.sha2(F.array_join(F.transform("toks", lambda w: F.when(w.rlike(_NUMBER), "<n>").otherwise(w)), " "), 256).alias("k")
+    return _problems(docs, "doc_id", 1).select("doc_id", key).join(_problems(evals, "item_id", 1).select("item_id", key), "k").select("doc_id", "item_id")
+
+
+def number_hits(docs: DataFrame, evals: DataFrame) -> DataFrame:
+    """doc_id, item_id: the same multiset of numbers, and sets of alphabetic words with a similarity of 0.5 or more."""
+    s = lambda frame, key, side: _problems(frame, key, NUMBERS).select(key, F.sha2(F.array_join("nums", " "), 256).alias("k"), F.array_distinct("alpha").alias(side))
+    both = s(docs, "doc_id", "a").join(s(evals, "item_id", "b"), "k")
+    return both.where(F.size(F.array_intersect("a", "b")) >= NUMBERS_JACCARD * F.size(F.array_union("a", "b"))).select("doc_id", "item_id")
+
+
 def containment(docs: DataFrame, evals: DataFrame, limit: float = 0.5, k: int = 8) -> DataFrame:
     """doc_id, item_id, shared: the evaluation item with most shared k-word shingles (ties: the smaller id),
     if these are ``limit`` or more of the smaller set."""

@@ -59,6 +59,14 @@ def dc10_number_multiset(spark, sf):
     return docs.select("doc_id", F.size(nums).alias("n"), F.array_join(nums, ",").alias("nums")).where("n >= 2")
 
 
+def dc09_template_hits(spark, sf):
+    return dc.template_hits(*_read(spark, sf, "documents", "benchmark"))
+
+
+def dc10_number_hits(spark, sf):
+    return dc.number_hits(*_read(spark, sf, "documents", "benchmark"))
+
+
 def dc13_source_rule(spark, sf):
     (docs,) = _read(spark, sf, "documents")
     return docs.select("doc_id", F.when(F.col("source").isNull(), "source_missing").when(F.col("source").rlike("^src[12]$"), "source").alias("hit")).where("hit is not null")
@@ -92,6 +100,10 @@ def dc21_containment(spark, sf):
     return dc.containment(*_read(spark, sf, "documents", "benchmark"), limit=0.05)
 
 
+def dc21_containment_half(spark, sf):
+    return dc.containment(*_read(spark, sf, "documents", "benchmark"))
+
+
 def dc22_informative(spark, sf):
     hits = dc.ngram_hits(*_read(spark, sf, "documents", "benchmark"))
     ws = F.split("gram", " ")
@@ -123,7 +135,7 @@ def rt06_knn_vote(spark, sf):
     return top.groupBy("q").agg(F.sum(F.when(F.col("label") == F.col("ql"), 1).otherwise(0)).alias("votes"))
 
 
-QUERIES = {f.__name__: f for f in (dc01_exact, dc01_exact_copies, dc05_ngram13, dc05_smallest_gram, dc06_max_df, dc07_jaccard, jn11_jaccard_documents, dc09_template, dc10_number_multiset, dc13_source_rule, dc15_dedup_sources, dc18_summary, dc19_verify_clean, dc20_first_reason, dc21_containment, dc22_informative, dc25_overlap_abort, fn01_words, rt06_knn_vote)}
+QUERIES = {f.__name__: f for f in (dc01_exact, dc01_exact_copies, dc05_ngram13, dc05_smallest_gram, dc06_max_df, dc07_jaccard, jn11_jaccard_documents, dc09_template, dc09_template_hits, dc10_number_multiset, dc10_number_hits, dc13_source_rule, dc15_dedup_sources, dc18_summary, dc19_verify_clean, dc20_first_reason, dc21_containment, dc21_containment_half, dc22_informative, dc25_overlap_abort, fn01_words, rt06_knn_vote)}
 
 _NORM = r"trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))"
 _KEYS = f"keys as (select 0 as side, doc_id as id, source, case when length(trim(text)) >= 20 then sha256({_NORM}) end as k from documents union all select 1, item_id, null, case when length(trim(text)) >= 20 then sha256({_NORM}) end from benchmark)"
@@ -132,6 +144,9 @@ grams as (select distinct side, id, array_to_string(g, ' ') as gram from (select
 hits as (select d.id as doc_id, e.id as item_id, min(d.gram) as gram from grams d join grams e on d.gram = e.gram and d.side = 0 and e.side = 1 group by 1, 2)"""
 _SETS = """sets as (select side, id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) >= 3 then [array_to_string(w, ' ')] else [] end) as s from texts),
 flat as (select side, id, len(s) as n, unnest(s) as g from sets)"""
+_PROBLEMS = r"""toks as (select 0 as side, doc_id as id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[0-9]+(?:\.[0-9]+)?|[\p{L}\p{N}_]+|[-+*/^=<>()|!]') as w from documents union all
+select 1, item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[0-9]+(?:\.[0-9]+)?|[\p{L}\p{N}_]+|[-+*/^=<>()|!]') from benchmark),
+problems as (select *, list_filter(w, lambda x: regexp_matches(x, '^[0-9]+(\.[0-9]+)?$')) as nums, list_filter(w, lambda x: regexp_matches(x, '^\p{L}+$')) as alpha from toks)"""
 _ORACLES = {
     "dc01_exact": f"with {_KEYS} select d.id as doc_id, e.id as item_id from keys d join keys e on d.k = e.k and d.side = 0 and e.side = 1",
     "dc01_exact_copies": f"with {_KEYS} select k, count(*) as n from keys where side = 0 and k is not null group by k having count(*) > 1",
@@ -142,12 +157,15 @@ _ORACLES = {
     "jn11_jaccard_documents": f"with {_GRAMS}, {_SETS} select a.id as a, b.id as b, count(*) as overlap from flat a join flat b on a.g = b.g and a.side = 0 and b.side = 0 and a.id < b.id group by 1, 2 having count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9",
     "dc09_template": f"select doc_id, sha256(regexp_replace({_NORM}, '[0-9]+', '<n>', 'g')) as template from documents where regexp_matches(text, '[0-9]')",
     "dc10_number_multiset": "select doc_id, n, nums from (select doc_id, len(x) as n, array_to_string(list_sort(x), ',') as nums from (select doc_id, regexp_extract_all(text, '[0-9]+') as x from documents) t) u where n >= 2",
+    "dc09_template_hits": f"with {_PROBLEMS}, masked as (select side, id, list_transform(w, lambda x: case when regexp_matches(x, '^[0-9]+(\\.[0-9]+)?$') then '<n>' else x end) as m from problems where len(alpha) >= 10 and len(nums) >= 1) select d.id as doc_id, e.id as item_id from masked d join masked e on d.m = e.m and d.side = 0 and e.side = 1",
+    "dc10_number_hits": f"with {_PROBLEMS}, kept as (select side, id, list_sort(nums) as n, list_distinct(alpha) as s from problems where len(alpha) >= 10 and len(nums) >= 2) select d.id as doc_id, e.id as item_id from kept d join kept e on d.n = e.n and d.side = 0 and e.side = 1 where len(list_intersect(d.s, e.s)) >= 0.5 * len(list_distinct(list_concat(d.s, e.s)))",
     "dc13_source_rule": "select doc_id, case when source is null then 'source_missing' else 'source' end as hit from documents where source is null or source in ('src1', 'src2')",
     "dc15_dedup_sources": f"with {_KEYS} select d.id as doc_id, d.source, f.first_source from keys d join (select k, min(source) as first_source from keys where side = 0 group by k) f on f.k = d.k where d.side = 0 and d.source > f.first_source",
     "dc18_summary": f"with {_GRAMS} select d.source, count(distinct h.doc_id) as train_items, count(distinct h.item_id) as eval_items from hits h join documents d on d.doc_id = h.doc_id group by d.source",
     "dc19_verify_clean": "select 0 as left_over",
     "dc20_first_reason": f"with {_GRAMS}, {_KEYS}, e as (select distinct d.id from keys d join keys x on d.k = x.k and d.side = 0 and x.side = 1) select doc_id, reason from (select doc_id, case when doc_id in (select id from e) then 'exact' when doc_id in (select doc_id from hits) then 'ngram13' when source = 'src1' then 'source' end as reason from documents) t where reason is not null",
     "dc21_containment": f"with {_GRAMS}, s8 as (select side, id, list_distinct(case when len(w) >= 8 then list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' ')) else [] end) as s from texts), f8 as (select side, id, len(s) as n, unnest(s) as g from s8), p as (select a.id as doc_id, b.id as item_id, a.n, b.n as m, count(*) as shared from f8 a join f8 b on a.g = b.g and a.side = 0 and b.side = 1 group by 1, 2, 3, 4) select doc_id, item_id, shared from (select *, row_number() over (partition by doc_id order by shared desc, item_id) as r from p) t where r = 1 and shared >= 0.05 * least(n, m)",
+    "dc21_containment_half": f"with {_GRAMS}, s8 as (select side, id, list_distinct(case when len(w) >= 8 then list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' ')) else [] end) as s from texts), f8 as (select side, id, len(s) as n, unnest(s) as g from s8), p as (select a.id as doc_id, b.id as item_id, a.n, b.n as m, count(*) as shared from f8 a join f8 b on a.g = b.g and a.side = 0 and b.side = 1 group by 1, 2, 3, 4) select doc_id, item_id, shared from (select *, row_number() over (partition by doc_id order by shared desc, item_id) as r from p) t where r = 1 and shared >= 0.5 * least(n, m)",
     "dc22_informative": f"with {_GRAMS} select doc_id, item_id from hits where len(list_distinct(string_split(gram, ' '))) >= 5 and len(list_filter(string_split(gram, ' '), lambda x: regexp_matches(x, '^\\p{{L}}{{3,}}$'))) >= 3",
     "dc25_overlap_abort": "select doc_id from documents where doc_id in (select doc_id from labels)",
     "fn01_words": f"select doc_id, len(@words[text]) as n_words, sha256({_NORM}) as normal from documents",

@@ -108,3 +108,32 @@ def test_stratified_bootstrap_against_brute_force(spark, tmp_path):
     got = registry.QUERIES["st02_stratified_bootstrap"](spark, sf).first()
     assert got.n_valid == 10_000
     assert [float(got.lo), float(got.hi)] == pytest.approx(np.percentile(values, [2.5, 97.5]), abs=2e-6)
+
+
+def _same_as_sql(spark, name, sf):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.sql(f"create view {table} as select * from '{sf}/{table}.parquet/*.parquet'")
+    got = registry.QUERIES[name](spark, sf)
+    rows = sorted(tuple(r[c] for c in sorted(got.columns)) for r in got.collect())
+    want = con.sql(registry.ORACLES[name])
+    at = [want.columns.index(c) for c in sorted(got.columns)]
+    assert rows == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+    return {r[:2] for r in rows}
+
+
+def test_template_and_number_matches(spark, tmp_path):
+    words = "anna buys apples and pears for her mother then sells"
+    item = words + " 12 of the 40 left"
+    docs = [(1, item), (2, item.replace("12", "7.5").replace("40", "3")), (3, item.replace("12", "x").replace("40", "12").replace("x", "40")), (4, "other " + words + " quite 40 and 12"), (5, "one two three four five six seven eight nine ten eleven 12 40"), (6, "12 of the 40 left"), (7, None), (8, words + " 12 12 40")]
+    evals = [(10, item), (11, "12 of the 40 left"), (12, None)]
+    sf = _stored(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(evals, "item_id long, text string"))
+    assert _same_as_sql(spark, "dc09_template_hits", sf) == {(1, 10), (2, 10), (3, 10)}
+    assert _same_as_sql(spark, "dc10_number_hits", sf) == {(1, 10), (3, 10), (4, 10)}
+
+
+def test_containment_needs_half_of_the_smaller_set(spark, tmp_path):
+    w = [f"w{i}" for i in range(27)]  # 20 shingles
+    docs = [(1, " ".join(w[:17]) + " a b c d e f g h i j k l m"), (2, " ".join(w[:16]) + " a b c d e f g h i j k l m n o")]
+    sf = _stored(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=([(10, " ".join(w))], "item_id long, text string"))
+    assert _same_as_sql(spark, "dc21_containment_half", sf) == {(1, 10)}
