@@ -26,9 +26,18 @@ def grams13(text: Column) -> Column:
     return t.let(t.words(text), of)
 
 
-def ngram_hits(docs: DataFrame, evals: DataFrame, max_df: int | None = None) -> DataFrame:
-    """doc_id, item_id, gram: the smallest shared gram of each pair. max_df drops grams of more evaluation items."""
+def informative(gram: Column) -> Column:
+    """Five distinct words, and three of letters only with three or more of them."""
+    ws = F.split(gram, " ")
+    return (F.size(F.array_distinct(ws)) >= 5) & (F.size(F.filter(ws, lambda w: w.rlike(r"^\p{L}{3,}$"))) >= 3)
+
+
+def ngram_hits(docs: DataFrame, evals: DataFrame, max_df: int | None = None, only_informative: bool = False) -> DataFrame:
+    """doc_id, item_id, gram: the smallest shared gram of each pair. max_df drops grams of more evaluation items;
+    only_informative keeps pairs of which any shared gram is informative, with the smallest of these."""
     grams = evals.select("item_id", F.explode(grams13(F.col("text"))).alias("gram"))
+    if only_informative:
+        grams = grams.where(informative(F.col("gram")))
     if max_df is not None:
         grams = grams.join(grams.groupBy("gram").agg(F.countDistinct("item_id").alias("df")).where(F.col("df") > max_df), "gram", "left_anti")
     mine = docs.select("doc_id", F.explode(grams13(F.col("text"))).alias("gram"))

@@ -137,3 +137,13 @@ def test_containment_needs_half_of_the_smaller_set(spark, tmp_path):
     docs = [(1, " ".join(w[:17]) + " a b c d e f g h i j k l m"), (2, " ".join(w[:16]) + " a b c d e f g h i j k l m n o")]
     sf = _stored(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=([(10, " ".join(w))], "item_id long, text string"))
     assert _same_as_sql(spark, "dc21_containment_half", sf) == {(1, 10)}
+
+
+def test_any_shared_gram_may_be_informative(spark, tmp_path):
+    prose = "0 0 0 0 0 0 0 0 0 a1 a1 a1 a1 alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    dull = "one one one one two two two two one one one one two two"
+    rows = [(1, prose), (2, dull), (3, "nothing")]
+    sf = _stored(spark, tmp_path, documents=(rows, "doc_id long, text string"), benchmark=(rows, "item_id long, text string"))
+    first = {r.doc_id: r.gram for r in registry.QUERIES["dc05_smallest_gram"](spark, sf).collect()}
+    assert set(first) == {1, 2} and len(set(first[1].split())) < 5
+    assert {tuple(r) for r in registry.QUERIES["dc22_informative"](spark, sf).collect()} == {(1, 1)}
