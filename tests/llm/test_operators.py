@@ -228,6 +228,14 @@ def test_neighbours_probe_more_as_cells_grow():
     assert found.mean() >= 0.95
 
 
+def test_passages_of_nine_words_lie_whole_in_a_window():
+    text = " ".join(f"w{i}" for i in range(200)).encode()
+    words = toxicity.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    held = [set(w.tolist()) for w in np.asarray(words.windows()[0]).reshape(-1, toxicity.WINDOW)]
+    order = words.index.tolist()
+    assert all(any(set(order[i : i + 9]) <= h for h in held) for i in range(192))
+
+
 def test_toxicity_on_held_out_rows():
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(200)]
