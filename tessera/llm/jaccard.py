@@ -1,11 +1,12 @@
 """Exact Jaccard join of word-shingle sets, with components of the links.
 
 1. Equal sets collapse to one class (a 64-bit hash of the set and its size).
-2. All classes are indexed by segments: a set's shingles are dealt to segments by their hash, more segments
-   than the shingles in which two linked sets of these sizes can differ, so that linked sets agree in a whole
-   segment. A segment holds several shingles, so sets that share but a passage seldom agree in one. Within an
-   index list, ordered by size, neighbours whose sizes can link are chained: classes that are in no common
-   chain component can't link, and are never compared.
+2. All classes are indexed by their prefixes: two sets that link share a shingle among the first
+   ``n - ceil(limit * n) + 1`` of each in any global order of shingles. The order here is by rarity, counted by
+   cells of the shingles' hash over all documents, so that sets which share but common passages seldom meet.
+   Within an index list, ordered by size, neighbours whose sizes can link are chained: classes that are in no
+   common chain component can't link, and are never compared. A list's runs are cut to their ends where they
+   are read, so that a shingle of a third of all sets makes no long list.
 3. Each chain component is compared exactly. One of more than ``BLOCK`` units (a set is one, and one more
    for every ``UNIT`` shingles, so that blocks are bounded in bytes) is cut into blocks, first each
    by itself with some pivots of the component, so that most sets find their links; then only pairs of
@@ -17,7 +18,6 @@
 from __future__ import annotations
 
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,15 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .katz import pack, unpack
-from .shared import components, kept, parts
+from .shared import components, kept, looked_up, parts, stars
 
 BLOCK, UNIT, PIVOTS = 1024, 1024, 16
+#: Cells of the counts that order shingles by rarity, and the pieces they are added up in.
+CELL_BITS, PIECES = 24, 256
+CELLS = 1 << CELL_BITS
+#: Index entries of one bucket.
+ENTRIES = 1 << 20
+ROW_NAMES = ["doc_id", "tid", "n_shingles", "sid", "piece", "counts"]
 _U = np.uint64
 
 
@@ -44,88 +50,141 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     return values, n, tb.signed(tb.mix(sid ^ tb.mix(n.astype(_U))))
 
 
-@lru_cache(1 << 16)
-def size_class(n: int, limit: Fraction) -> tuple[int, int, int]:
-    """(class of a size, last size of it, last size of the next). Sets that link are of one class or neighbours."""
-    first, k = 1, 0
-    while True:
-        then = first * limit.denominator // limit.numerator + 1
-        if n < then:
-            return k, then - 1, then * limit.denominator // limit.numerator
-        first, k = then, k + 1
+def _rows_and_counts(docs: DataFrame, size: int) -> DataFrame:
+    """A row for each of ``docs`` (doc_id, tid: a hash of the text, n_shingles, sid) and, in one pass with them,
+    rows (piece, counts) of the distinct sets' shingles by cell, of each task."""
 
+    def run(batches):
+        counts, rows = np.zeros(CELLS, np.uint32), 0
+        for batch, data, offsets in tb.blocks(batches):
+            values, n, sid = sets_of(data, offsets, size)
+            first = np.zeros(len(n), bool)
+            first[np.unique(sid, return_index=True)[1]] = True
+            np.add.at(counts, (values[first[tb.row_of(n)]] >> _U(64 - CELL_BITS)).astype(np.int64), np.uint32(1))
+            rows += batch.num_rows
+            none = pa.nulls(len(n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sid), none.cast(pa.int32()), none.cast(pa.binary())], ROW_NAMES)
+        if rows:
+            some = [k for k, c in enumerate(np.split(counts, PIECES)) if c.any()]
+            blobs = [pack(np.minimum(c, 255).astype(np.uint8), np.flatnonzero(c >= 255).astype(np.int32), c[c >= 255]) for c in (np.split(counts, PIECES)[k] for k in some)]
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ROW_NAMES)
 
-def segments(values: np.ndarray, limit: Fraction) -> np.ndarray:
-    """Hashes of a set's segments, once as the larger and once as the smaller of two neighbouring classes.
+    ids = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
+    return ids.mapInArrow(run, "doc_id long, tid long, n_shingles long, sid long, piece int, counts binary")
 
-    Two linked sets differ in at most ``differ`` shingles, so of more segments some are equal. Empty segments
-    count only for a set with so many that the equal ones could all be empty."""
-    up, down = limit.numerator, limit.denominator
-    k, last, after = size_class(len(values), limit)
-    out = []
-    for c, largest in ((k, last), (k + 1, after)):
-        differ = 2 * largest * (down - up) // (down + up)
-        many = differ + 2 + differ // 16
-        place = (tb.mix(values ^ _U(0x5E61)) % _U(many)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        at = np.flatnonzero(np.r_[True, place[order][1:] != place[order][:-1]])
-        held = np.zeros(many, bool)
-        held[place] = True
-        sums = np.zeros(many, _U)
-        sums[held] = np.add.reduceat(tb.mix(values[order] + _U(0x7A31)), at)
-        use = held if held.sum() > differ else np.ones(many, bool)
-        name = np.arange(many, dtype=_U) + _U(c << 40)
-        out.append(tb.mix(tb.mix(name) ^ sums)[use])
-    return np.concatenate(out)
-
-
-def _segment_postings(docs: DataFrame, size: int, limit: Fraction, buckets: int) -> DataFrame:
-    """bucket, blob: hashes of the segments of a block's distinct sets, with class ids and sizes."""
+
+def _crowding(counted: DataFrame) -> bytes:
+    """Packed: a rank of each cell by its count, in sixths of a doubling. CELLS bytes at any size of the input."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                few, at, many = unpack(raw)
+                few = few.astype(np.int64)
+                few[at] = many
+                sums[k] = sums.get(k, 0) + few
+        blobs = [pack(np.minimum(255, np.ceil(6 * np.log2(np.maximum(x, 1)))).astype(np.uint8)) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(blobs, pa.binary())], ["piece", "ranks"])
+
+    out = np.zeros((PIECES, CELLS // PIECES), np.uint8)
+    for r in counted.select("piece", "counts").where("piece is not null").repartition(PIECES, "piece").mapInArrow(run, "piece int, ranks binary").collect():
+        out[r.piece] = unpack(r.ranks)[0]
+    return pack(out.ravel())
+
+
+def prefix(n, limit: Fraction):
+    """How many of a set's first shingles, in one global order, meet those of every set that it links with."""
+    return n - (limit.numerator * n + limit.denominator - 1) // limit.denominator + 1
+
+
+def _runs(token: np.ndarray, n: np.ndarray, limit: Fraction) -> np.ndarray:
+    """Where, in lists ordered by token and size, a run of neighbours whose sizes can link begins."""
+    near = (token[1:] == token[:-1]) & (limit.denominator * n[:-1] >= limit.numerator * n[1:])
+    return np.flatnonzero(np.r_[True, ~near])
+
+
+def _postings(docs: DataFrame, size: int, limit: Fraction, crowding: bytes, buckets: int) -> DataFrame:
+    """bucket, blob: index lists of the prefixes of a block's distinct sets.
+
+    A run of a block's list is chained at once, as a star, and sends only its two ends: all that is between
+    them in size is chained with them. So a shingle's list is no longer than twice the number of blocks."""
 
     def run(batches):
+        ranks = unpack(crowding)[0]
         for _, data, offsets in tb.blocks(batches):
             values, n, sid = sets_of(data, offsets, size)
-            start = np.cumsum(n) - n
-            rows = np.unique(sid, return_index=True)[1]
-            rows = rows[n[rows] > 0]
-            if not len(rows):
+            first = np.zeros(len(n), bool)
+            first[np.unique(sid, return_index=True)[1]] = True
+            row = tb.row_of(n)
+            values, row = values[first[row]], row[first[row]]
+            if not len(values):
                 continue
-            found = [segments(values[start[r] : start[r] + n[r]], limit) for r in rows.tolist()]
-            own = np.repeat(rows, [len(x) for x in found])
-            found = np.concatenate(found)
-            bucket = (tb.mix(found) % _U(buckets)).astype(np.int32)
+            # one global order: rarer cells first, then by the hash, which rows are sorted by
+            rank = ranks[(values >> _U(64 - CELL_BITS)).astype(np.int64)].astype(_U)
+            order = np.lexsort(((rank << _U(56)) | (values >> _U(8)), row))
+            values = values[order]
+            some = np.where(first, n, 0)
+            place = np.arange(len(row)) - (np.cumsum(some) - some)[row]
+            use = place < prefix(n, limit)[row]
+            token, row = values[use], row[use]
+            order = np.lexsort((n[row], token))
+            token, row = token[order], row[order]
+            begin = _runs(token, n[row], limit)
+            end = np.r_[begin[1:], len(row)] - 1
+            whole = np.repeat(begin, end - begin + 1)
+            star_a, star_b = stars(sid[row], sid[row[whole]])
+            ends = np.unique(np.r_[begin, end[n[row[end]] != n[row[begin]]]])
+            token, row = token[ends], row[ends]
+            bucket = (tb.mix(token) % _U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            found, own, bucket = found[order], own[order], bucket[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            blobs = [pack(found[a:b], sid[own[a:b]], n[own[a:b]].astype(np.uint32)) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            token, row, bucket = token[order], row[order], bucket[order]
+            star_bucket = (tb.mix(star_a.view(_U)) % _U(buckets)).astype(np.int32)
+            order = np.argsort(star_bucket, kind="stable")
+            star_a, star_b, star_bucket = star_a[order], star_b[order], star_bucket[order]
+            used = np.unique(np.concatenate([bucket, star_bucket]))
+            lo, hi = np.searchsorted(bucket, used, "left"), np.searchsorted(bucket, used, "right")
+            s_lo, s_hi = np.searchsorted(star_bucket, used, "left"), np.searchsorted(star_bucket, used, "right")
+            blobs = []
+            for a, b, c, d in zip(lo.tolist(), hi.tolist(), s_lo.tolist(), s_hi.tolist(), strict=True):
+                rows, local = np.unique(row[a:b], return_inverse=True)
+                # 40 bits of a shingle beside its bucket: a false meeting chains two sets, and is compared away
+                blobs.append(pack((token[a:b] & _U(0xFFFFFFFF)).astype(np.uint32), (token[a:b] >> _U(56)).astype(np.uint8), local.astype(np.uint16 if len(rows) <= 1 << 16 else np.uint32), sid[rows], n[rows].astype(np.uint32), star_a[c:d], star_b[c:d]))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return docs.select("text").mapInArrow(run, "bucket int, blob binary")
 
 
 def _chains(postings: DataFrame, limit: Fraction, buckets: int) -> DataFrame:
-    """a, b: neighbours by size in an index list whose sizes can link."""
-    up, down = limit.numerator, limit.denominator
+    """a, b: stars of the chains in each bucket's index lists."""
 
     def run(batches):
-        found = [unpack(x) for b in batches for x in b.column(0).to_pylist()]
-        if not found:
+        held, stars_of = [], []
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                low, high, local, sid, n, a, b = unpack(raw)
+                held.append(((high.astype(_U) << _U(32)) | low, sid[local], n[local]))
+                stars_of.append((a, b))
+        if not held:
             return
-        token, sid, n = (np.concatenate(c) for c in zip(*found, strict=True))
+        token, sid, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
         # only lists of two sets or more are ordered
         order = np.argsort(token)
         token, sid, n = token[order], sid[order], n[order].astype(np.int64)
         same = token[1:] == token[:-1]
         many = np.r_[same, False] | np.r_[False, same]
         token, sid, n = token[many], sid[many], n[many]
-        order = np.lexsort((sid, n, token))
+        order = np.lexsort((n, token))
         token, sid, n = token[order], sid[order], n[order]
-        near = (token[1:] == token[:-1]) & (sid[1:] != sid[:-1]) & (down * n[:-1] >= up * n[1:])
-        pairs = np.unique(np.stack([sid[:-1][near], sid[1:][near]], 1), axis=0)
-        for at in range(0, len(pairs), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[at : at + (1 << 16), k])) for k in (0, 1)], ["a", "b"])
+        begin = _runs(token, n, limit) if len(token) else np.zeros(0, np.int64)
+        whole = np.repeat(begin, np.diff(np.r_[begin, len(token)]))
+        a, b = stars(np.concatenate([sid, *(x[0] for x in stars_of)]), np.concatenate([sid[whole], *(x[1] for x in stars_of)]))
+        for at in range(0, len(a), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], ["a", "b"])
 
-    return postings.repartitionById(buckets, "bucket").select("blob").mapInArrow(run, "a long, b long").distinct()
+    return postings.repartitionById(buckets, "bucket").select("blob").mapInArrow(run, "a long, b long")
 
 
 class _Found:
@@ -192,37 +251,29 @@ def _compare(work: DataFrame, limit: Fraction, spark: SparkSession) -> DataFrame
         sets = [np.frombuffer(x, _U) for x in table.column("shingles").take(pa.array(first)).to_pylist()]
         side, sid = table.column("side").to_numpy()[first], sid[first]
         links = np.array(block_links(sets, side, limit), np.int64).reshape(-1, 2)
-        return pa.table({"a": sid[links[:, 0]], "b": sid[links[:, 1]]})
+        return pa.table(dict(zip("ab", stars(sid[links[:, 0]], sid[links[:, 1]]), strict=True)))
 
     return work.groupBy("block").applyInArrow(run, "a long, b long")
 
 
-def link_components(docs: DataFrame, size: int = 4, limit: Fraction = Fraction(85, 100)) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
-
-    A text with fewer words than ``size`` is its whole sequence as one shingle; an empty or null text has no
-    shingle and is alone. Rows link if ``intersection >= limit * union``; component_id is the smallest
-    doc_id reachable. Repeated rows are rows each, linked as equal sets. Rows without doc_id link with
-    nothing and have no component. An empty table gives no rows.
-    """
+def linked_rows(docs: DataFrame, size: int, limit: Fraction) -> DataFrame:
+    """doc_id, tid, n_shingles, class of links (null without shingles or without doc_id) of every row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    buckets = parts(spark)
-
-    def signed_rows(batches):
-        for batch, data, offsets in tb.blocks(batches):
-            _, n, sid = sets_of(data, offsets, size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid)], ["doc_id", "n_shingles", "sid"])
-
-    rows = kept(docs.mapInArrow(signed_rows, "doc_id long, n_shingles long, sid long"))
     named = docs.where("doc_id is not null")
-    chains = _chains(_segment_postings(named, size, limit, buckets), limit, buckets)
-    members = components(chains).withColumnRenamed("node", "sid")
+    # rows without doc_id are in no index, and are counted in no harm: any order of shingles will do
+    passed = kept(_rows_and_counts(docs, size))
+    rows = passed.where("piece is null").select("doc_id", "tid", "n_shingles", "sid")
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(parts(spark), -(-int(total * (1 - limit)) // ENTRIES))
+    chains = _chains(_postings(named, size, limit, _crowding(passed), buckets), limit, buckets)
+    members = components(chains).selectExpr("node as sid", "root")
     # a class is read from the row with its smallest id
     classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.expr(f"1 + min(n_shingles) div {UNIT}").alias("units"))
-    wanted = members.join(classes, "sid").select("doc_id", F.col("sid").alias("want"), "root", "units")
-    cells = wanted.groupBy("root").agg(F.sum("units").alias("m"))
-    wanted = kept(wanted.join(cells, "root"))
+    classes = kept(classes)
+    wanted = kept(members.join(classes, "sid").select("doc_id", F.col("sid").alias("want"), "root", "units"))
+    cells = wanted.groupBy(F.col("root").alias("m_root")).agg(F.sum("units").alias("m"))
+    wanted = looked_up(wanted, "root", cells, "m_root").select(F.col("doc_id").alias("w_doc"), "want", "root", "units", "m")
 
     def read_sets(batches):
         for batch, data, offsets in tb.blocks(batches):
@@ -232,7 +283,8 @@ def link_components(docs: DataFrame, size: int = 4, limit: Fraction = Fraction(8
             blobs = [values[ends[i] - n[i] : ends[i]].tobytes() for i in right.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(sid[right]), *(batch.column(k).take(pa.array(right)) for k in (2, 3, 4)), pa.array(blobs, pa.binary())], ["sid", "root", "units", "m", "shingles"])
 
-    sets = kept(named.join(wanted, "doc_id").select("text", "want", "root", "units", "m").mapInArrow(read_sets, "sid long, root long, units long, m long, shingles binary"))
+    read = named.join(wanted, F.col("doc_id") == F.col("w_doc")).select("text", "want", "root", "units", "m")
+    sets = kept(read.mapInArrow(read_sets, "sid long, root long, units long, m long, shingles binary"))
     several = F.expr(f"cast(ceil(m / {BLOCK}) as int)")
     mixed = F.xxhash64("sid", F.lit("block"))
     pivot = (several > 1) & (F.expr(f"pmod(xxhash64(sid, 'pivot'), greatest(1L, m div {PIVOTS}))") == 0)
@@ -241,13 +293,23 @@ def link_components(docs: DataFrame, size: int = 4, limit: Fraction = Fraction(8
     large = sets.where(F.col("m") > BLOCK)
     if not large.isEmpty():
         found = found.unionByName(_across(large, found, limit, spark))
-    joined = components(found).selectExpr("node as sid", "root as joined")
-    classes = classes.join(joined, "sid", "left").selectExpr("sid as c_sid", "doc_id as c_doc", "coalesce(joined, sid) as joined")
-    lowest = classes.groupBy("joined").agg(F.min("c_doc").alias("component"))
-    classes = classes.join(lowest, "joined").select("c_sid", "component")
-    alone = F.col("n_shingles") == 0
-    out = rows.join(classes, F.col("sid") == F.col("c_sid"), "left")
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    joined = components(found).selectExpr("node as j_sid", "root as joined")
+    named_class = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("joined", "sid"))
+    return looked_up(rows, "sid", joined, "j_sid").select("doc_id", "tid", "n_shingles", named_class.alias("class"))
+
+
+def link_components(docs: DataFrame, size: int = 4, limit: Fraction = Fraction(85, 100)) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
+
+    A text with fewer words than ``size`` is its whole sequence as one shingle; an empty or null text has no
+    shingle and is alone. Rows link if ``intersection >= limit * union``; component_id is the smallest
+    doc_id reachable. Repeated rows are rows each, linked as equal sets. Rows without doc_id link with
+    nothing and have no component. An empty table gives no rows.
+    """
+    rows = kept(linked_rows(docs, size, limit))
+    lowest = rows.where("class is not null").groupBy(F.col("class").alias("l_class")).agg(F.min("doc_id").alias("component_id"))
+    # a row that is alone is its own component
+    return looked_up(rows, "class", lowest, "l_class").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _across(large: DataFrame, found: DataFrame, limit: Fraction, spark: SparkSession) -> DataFrame:
@@ -272,12 +334,23 @@ def _across(large: DataFrame, found: DataFrame, limit: Fraction, spark: SparkSes
 
 
 def one_of_each(docs: DataFrame, size: int = 5, limit: Fraction = Fraction(8, 10)) -> DataFrame:
-    """The row of each component whose doc_id is its component_id (rows without doc_id stay); of repeated
-    rows of that id, one."""
-    found = link_components(docs, size, limit).where("doc_id is not null").select(F.col("doc_id").alias("k_doc"), F.col("component_id").alias("k_component")).distinct()
-    stay = found.where("k_doc = k_component").select("k_doc")
-    kept_rows = docs.join(stay, F.col("doc_id") == F.col("k_doc"), "left_semi").dropDuplicates(["doc_id"])
-    return kept_rows.unionByName(docs.where("doc_id is null"))
+    """One row of each class of linked rows: that of the smallest doc_id, of several texts of that id the one with
+    the smallest hash, of rows equal in both the smallest by all columns (which must be orderable).
+
+    Rows without doc_id and rows without shingles link with nothing, and all stay. Rows of one doc_id whose texts
+    do not link are rows of classes of their own.
+    """
+    rows = linked_rows(docs, size, limit).where("class is not null")
+    best = rows.groupBy("class").agg(F.min(F.struct("doc_id", "tid")).alias("k"))
+    each = rows.groupBy("class", "doc_id", "tid").agg(F.count(F.lit(1)).alias("copies")).selectExpr("class as e_class", "doc_id as e_doc", "tid as e_tid", "copies")
+    best = best.join(each, (F.col("class") == F.col("e_class")) & (F.col("k.doc_id") == F.col("e_doc")) & (F.col("k.tid") == F.col("e_tid"))).select("e_doc", "e_tid", "copies")
+    best = kept(best)
+    key = (F.col("doc_id") == F.col("e_doc")) & (F.xxhash64("text") == F.col("e_tid"))
+    stay = docs.join(best.where("copies = 1"), key, "left_semi")
+    several = docs.join(best.where("copies > 1"), key, "left_semi")
+    several = several.groupBy("doc_id", F.xxhash64("text").alias("e_tid")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    alone = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return stay.unionByName(several).unionByName(alone)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

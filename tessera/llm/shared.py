@@ -1,25 +1,42 @@
-"""What several operators need: cutting lineage in the shared folder, and connected components."""
+"""What several operators need: tables in the shared folder, joins with hot keys, and connected components."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a local one is set only where spark.checkpoint.dir is missing, as in tests."""
+    """The checkpoint folder of the session. Where spark.checkpoint.dir is unset, a machine-local folder is made
+    for a session whose tasks all run on this machine; on a cluster that is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        path = context.getConf().get("spark.checkpoint.dir")
+        if not path:
+            if context.master.split("[")[0] != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            path = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(path)
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def kept(frame: DataFrame) -> DataFrame:
-    """``frame`` written to the folder that the cluster names in spark.checkpoint.dir, and read from there."""
-    folder(frame.sparkSession)
-    return frame.checkpoint()
+def kept(frame: DataFrame, path: str | None = None) -> DataFrame:
+    """``frame`` written as Parquet to a path in the shared folder, and read from there."""
+    spark = frame.sparkSession
+    path = path or f"{folder(spark)}/kept-{uuid.uuid4()}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ``kept`` that nothing reads any more."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def parts(spark: SparkSession) -> int:
@@ -36,25 +53,97 @@ def parts_for(docs: DataFrame, column: str = "text", each: int = PART_BYTES) ->
     return max(parts(docs.sparkSession), -(-size // each))
 
 
+#: A key with more than one in HOT of a frame's rows is hot, so that there are fewer than HOT of them.
+HOT = 256
+
+
+def hot_keys(frame: DataFrame, key: str) -> list[int]:
+    total = frame.count()
+    if not total:
+        return []
+    few = frame.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > total / HOT)
+    return [r[0] for r in few.select(key).collect()]
+
+
+def looked_up(frame: DataFrame, key: str, values: DataFrame, value_key: str) -> DataFrame:
+    """Left join of ``frame`` (written before: it is read twice) with ``values``, whose long key is unique and whose
+    columns have names of their own. Rows of hot keys meet the at most HOT values broadcast, the others are shuffled."""
+    hot = hot_keys(frame, key)
+    on = F.col(key) == F.col(value_key)
+    if not hot:
+        return frame.join(values, on, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = frame.where(is_hot).join(F.broadcast(values.where(F.col(value_key).isin(hot))), on, "left")
+    return frame.where(~is_hot).join(values, on, "left").unionByName(few)
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of all nodes of the edges but the smallest ones themselves."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        open_ = low < high
+        if not open_.any():
+            break
+        x, y, low, high = x[open_], y[open_], low[open_], high[open_]
+        np.minimum.at(root, high, low)
+        while (then := root[root]).tobytes() != root.tobytes():
+            root = then
+    leaf = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[leaf], nodes[root[leaf]]
+
+
+EDGES_AT_ONCE = 1 << 20
+
+
+def _stars_of_parts(batches):
+    """The stars of a part's edges (a, b), at most EDGES_AT_ONCE and a batch of them held at a time."""
+    held, n = [], 0
+
+    def flush():
+        a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+        a, b = stars(a, b)
+        for at in range(0, len(a), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], ["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+        if n >= EDGES_AT_ONCE:
+            yield from flush()
+            held, n = [], 0
+    if held:
+        yield from flush()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of all nodes of ``edges`` (a, b: long); root is the smallest node of the component.
 
-    Alternates large and small stars until the edges stand still. Each round is two aggregates, which
-    combine before the shuffle, and two joins, whose hot keys are split; nothing is collected.
+    Each round turns the edges of every part into stars, first where they lie (so that no larger node has more
+    edges than there are parts), then dealt by their larger nodes; then each smaller node that has edges of its
+    own is replaced by its smallest neighbour. Smaller nodes may be hubs of any size: ``looked_up`` splits them.
+    The rounds end when nothing changes. Each is written to the shared folder, and the one before it deleted.
     """
-    edges = kept(edges.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct())
-    before = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.selectExpr("v as u", "u as v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
-        large = both.join(low, "u").where("v > u").selectExpr("v as u", "m as v").where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").selectExpr("v as u", "m as v").where("u <> v").unionByName(low.selectExpr("u", "m as v")).distinct()
-        edges = kept(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    spark = edges.sparkSession
+    schema = "a long, b long"
+    base, before, old = f"{folder(spark)}/components-{uuid.uuid4()}", None, []
+    edges = edges.select("a", "b").where("a <> b")
+    for k in range(rounds):
+        near = kept(edges.mapInArrow(_stars_of_parts, schema).repartition("a").mapInArrow(_stars_of_parts, schema), f"{base}/{k}-near")
+        up = near.groupBy("a").agg(F.min("b").alias("up")).withColumnRenamed("a", "up_a")
+        jumped = looked_up(near, "b", up, "up_a")
+        # the edge to the smaller node is kept where that node moves on by another of its edges
+        edges = kept(jumped.select("a", F.coalesce("up", "b").alias("b")), f"{base}/{k}")
+        for path in [*old, f"{base}/{k}-near"]:
+            removed(spark, path)
+        old = [f"{base}/{k}"]
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.selectExpr("u as node", "v as root").unionByName(edges.selectExpr("v as node", "v as root").distinct())
+    return edges.selectExpr("a as node", "b as root").unionByName(edges.selectExpr("b as node", "b as root").distinct())

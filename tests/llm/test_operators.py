@@ -268,18 +268,3 @@ def test_empty_tables(spark):
     assert toxicity.score_texts(none, toxicity.train([], np.array([]))).count() == 0
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), urls.rules_frame(spark)).count() == 0
-
-
-def test_linked_sets_share_a_segment():
-    rng = np.random.default_rng(1)
-    for limit in (Fraction(85, 100), Fraction(8, 10)):
-        linked = 0
-        for _ in range(1000):
-            n = int(rng.integers(1, 300))
-            pool = rng.permutation(np.unique(rng.integers(1, 2**63, 2 * n + 50, dtype=np.uint64)))
-            gone, new = rng.integers(0, n // 4 + 1, 2).tolist()
-            a, b = np.sort(pool[:n]), np.sort(pool[gone : n + new])
-            if n - gone >= limit * (n + new):
-                linked += 1
-                assert len(np.intersect1d(jaccard.segments(a, limit), jaccard.segments(b, limit)))
-        assert linked > 100
