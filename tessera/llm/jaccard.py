@@ -34,6 +34,8 @@ CELL_BITS, PIECES = 24, 256
 CELLS = 1 << CELL_BITS
 #: Index entries of one bucket.
 ENTRIES = 1 << 20
+#: Bytes of text worked on at once (a longer text stands alone).
+TEXT_BYTES = 1 << 20
 ROW_NAMES = ["doc_id", "tid", "n_shingles", "sid", "piece", "counts"]
 _U = np.uint64
 
@@ -56,7 +58,7 @@ def _rows_and_counts(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         counts, rows = np.zeros(CELLS, np.uint32), 0
-        for batch, data, offsets in tb.blocks(batches):
+        for batch, data, offsets in tb.blocks(batches, limit=TEXT_BYTES):
             values, n, sid = sets_of(data, offsets, size)
             first = np.zeros(len(n), bool)
             first[np.unique(sid, return_index=True)[1]] = True
@@ -113,7 +115,7 @@ def _postings(docs: DataFrame, size: int, limit: Fraction, crowding: bytes, buck
 
     def run(batches):
         ranks = unpack(crowding)[0]
-        for _, data, offsets in tb.blocks(batches):
+        for _, data, offsets in tb.blocks(batches, limit=TEXT_BYTES):
             values, n, sid = sets_of(data, offsets, size)
             first = np.zeros(len(n), bool)
             first[np.unique(sid, return_index=True)[1]] = True
@@ -276,7 +278,7 @@ def linked_rows(docs: DataFrame, size: int, limit: Fraction) -> DataFrame:
     wanted = looked_up(wanted, "root", cells, "m_root").select(F.col("doc_id").alias("w_doc"), "want", "root", "units", "m")
 
     def read_sets(batches):
-        for batch, data, offsets in tb.blocks(batches):
+        for batch, data, offsets in tb.blocks(batches, limit=TEXT_BYTES):
             values, n, sid = sets_of(data, offsets, size)
             ends = np.cumsum(n)
             right = np.flatnonzero(sid == batch.column(1).to_numpy())
