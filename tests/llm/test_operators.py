@@ -190,44 +190,6 @@ def test_hilbert_curve_steps_are_neighbours():
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
-def test_neighbours(spark):
-    rng = np.random.default_rng(5)
-    v = rng.standard_normal((300, 12)).astype("f4")
-    v[40:60] = v[40]
-    rows = [(i, [float(c) for c in x]) for i, x in enumerate(v)] + [(300, None), (301, [0.0] * 12), (302, [float("nan")] * 12), (303, [1.0] * 3), (None, [1.0] * 12)]
-    got: dict = {}
-    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    recall = []
-    for q in range(0, 300, 20):
-        s = v.astype(float) @ v[q].astype(float)
-        want = [i for i in np.lexsort((np.arange(300), -s)) if i != q][:20]
-        found = sorted(got[q])
-        assert [f[0] for f in found] == list(range(1, 21))
-        recall.append(len({f[1] for f in found} & set(want)) / 20)
-    assert set(got) == set(range(0, 300, 20)) and np.mean(recall) >= 0.9
-
-
-def test_neighbours_probe_more_as_cells_grow():
-    rng = np.random.default_rng(9)
-    sizes = [1, 100, 300, 500, 4000, 4200, 10_256, 51_282, 102_400, 204_800, 412_000, 10_000_000]
-    shapes = [neighbours.Shape(n, 64, 1.0, 1.0) for n in sizes]
-    assert all(s.probes == s.cells for s, n in zip(shapes, sizes, strict=True) if n <= 500)
-    wide = [s for s, n in zip(shapes, sizes, strict=True) if n >= 51_282]
-    assert [s.cells for s in wide] == [2048, 4096, 8192, 16_384, 16_384]
-    assert all(s.probes >= 48 * (s.cells / 2048) ** (2 / 3) for s in wide)
-    # neighbours as close as the 20 nearest of 412,000 vectors of 64 dimensions
-    q = rng.standard_normal((60, 64))
-    q /= np.linalg.norm(q, axis=1, keepdims=True)
-    off = rng.standard_normal((60, 64))
-    off -= (off * q).sum(1, keepdims=True) * q
-    near = 0.5 * q + 0.75**0.5 * off / np.linalg.norm(off, axis=1, keepdims=True)
-    shape, found = shapes[-2], np.zeros(60, bool)
-    for table in range(neighbours.TABLES):
-        found |= (shape.probed(shape.lifted(q, True), table) == shape.cell(shape.lifted(near, False), table)[:, None]).any(1)
-    assert found.mean() >= 0.95
-
-
 def test_passages_of_nine_words_lie_whole_in_a_window():
     text = " ".join(f"w{i}" for i in range(200)).encode()
     words = toxicity.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
