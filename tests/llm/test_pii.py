@@ -104,6 +104,20 @@ def test_trees_on_sentences_they_never_saw():
         assert label[said].mean() >= 0.93 and said[label].mean() >= 0.9, kind
 
 
+def test_what_generators_need_drops_no_match():
+    rng = np.random.default_rng(12)
+    texts = [*_texts()[::3], "paſſword is hunter2xyz", "PASSWORD IS hunter2xyz", "to\u212aen is hunter2xyz"]
+    for kind, yes in pii._makers(rng)[0].items():
+        texts += [yes() for _ in range(100)]
+    found = 0
+    for x in texts:
+        for kind, g in pii.GENERATORS.items():
+            if g.search(x):
+                found += 1
+                assert kind not in pii.NEEDS or any(c in x.casefold() for c in pii.NEEDS[kind])
+    assert found > 1000
+
+
 def test_long_texts_stay_linear():
     text = ("a" * 200_000) + " " + ("1-" * 100_000) + " " + ("x.y " * 50_000) + "k@" * 50_000
     assert pii.find_spans(text, pii.trained()) is not None
