@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import kept
+
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
@@ -104,10 +106,19 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def taken_rows(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them. Rows without words are not taken."""
-    names = docs.columns
-    mixed = _mixed(docs, names, seed).where("times > 0")
-    return mixed.select(F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("again"), "kept_row").select("kept_row.*").select(*names)
+    """The rows of ``docs`` as often as the mix takes them. Rows without words are not taken.
+
+    Only ids, sources and sizes are mixed; the rows meet the outcome by doc_id and a hash of all their columns.
+    Rows equal in all columns are as good as each other: they share the sum of what they are taken.
+    """
+    whole = F.xxhash64(*docs.columns)
+    mixed = _mixed(docs, [whole.alias("row_hash")], seed)
+    each = kept(mixed.groupBy("doc_id", "row_hash").agg(F.sum("times").cast("int").alias("m_times"), F.count(F.lit(1)).alias("m_rows")).where("m_times > 0").selectExpr("doc_id as m_doc", "row_hash as m_hash", "m_times", "m_rows"))
+    on = F.col("doc_id").eqNullSafe(F.col("m_doc")) & (whole == F.col("m_hash"))
+    single = docs.join(each.where("m_rows = 1"), on).select(*docs.columns, "m_times")
+    several = docs.join(each.where("m_rows > 1"), on).groupBy(*docs.columns, "m_hash").agg(F.max("m_times").alias("m_times")).select(*docs.columns, "m_times")
+    out = single.unionByName(several)
+    return out.withColumn("m_again", F.explode(F.expr("sequence(1, m_times)"))).select(*docs.columns)
 
 
 def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -120,11 +131,12 @@ def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return _mixed(docs, [], seed).select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))
 
 
-def _mixed(docs: DataFrame, carried: list[str], seed: int) -> DataFrame:
-    """Each row's columns of ``carried`` as kept_row, with how many times it is taken."""
+def _mixed(docs: DataFrame, carried: list[Column], seed: int) -> DataFrame:
+    """doc_id, size, source_size, target, ``carried`` of each row, with how many times it is taken."""
     spark = docs.sparkSession
-    more = [F.struct(*carried).alias("kept_row")] if carried else []
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("rank"), *more)
+    # words are counted once; what follows reads this table
+    base = kept(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("rank"), *carried))
+    more = base.columns[4:]
     counted = base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     # one row for each source reaches the driver: the weights need their order by code point
     sizes = [(r.source, int(r.total)) for r in counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect()]
@@ -151,9 +163,9 @@ def _mixed(docs: DataFrame, carried: list[str], seed: int) -> DataFrame:
     room = F.col("chosen") - F.col("before")
     ranked = ranked.withColumn("place", F.when(room <= 0, F.lit(0)).when(room >= F.col("in_bucket"), F.lit(1)))
     sure = ranked.where("place is not null").withColumn("more", F.col("place"))
-    torn = ranked.where("place is null").withColumn("order", F.expr("row_number() over (partition by source, size, bucket order by rank, doc_id)"))
+    torn = ranked.where("place is null").withColumn("order", F.expr(f"row_number() over (partition by source, size, bucket order by {', '.join(['rank', 'doc_id', *more])})"))
     torn = torn.withColumn("more", (F.col("order") <= room).cast("int")).drop("order")
-    return sure.unionByName(torn).select("doc_id", "size", "source_size", "target", (F.when(F.col("size") > 0, F.col("passes") + F.col("more")).otherwise(0)).alias("times"), *(["kept_row"] if carried else []))
+    return sure.unionByName(torn).select("doc_id", "size", "source_size", "target", (F.when(F.col("size") > 0, F.col("passes") + F.col("more")).otherwise(0)).alias("times"), *more)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,9 @@ LENGTH = 4096
 END = 2
 DIMS, BITS = 4, 10
 HASHED = 512
-SAMPLE = 4096
+SAMPLE, MOST_SAMPLED = 4096, 1 << 16
+#: Bytes of text behind a range.
+RANGE_BYTES = 32 << 20
 CACHE_WORDS = 800_000
 _MARK = re.compile(rb"(?<=[a-z])([.,!])(?=[\x20\x09-\x0D]|\Z)")
 
@@ -43,10 +45,18 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {}
+        self.model, self.known, self.by_words = Tokenizer.from_file(path), {}, True
+        probes = [x.encode() for x in ("Ab c.", "a, b! c.", "x\ty\nz  w ", " lead AND Trail. ", "É ß x1.5, don't!", "a.b c,d")]
+        # a vocabulary of another make is read text by text
+        self.by_words = self.ids(probes) == self._whole(probes)
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_words:
+            return self._whole(texts)
         # the vocabulary is lower case, and a mark between a letter and white space is a token run of its own:
         # so fewer words differ (texts that may hold a special token stay as they are)
         split = [(t if b"<|" in t else _MARK.sub(rb" \1", t.lower())).split() for t in texts]
@@ -112,7 +122,7 @@ KEYED = "part int, curve long, tie long, doc_id long, ids binary"
 
 
 def _keyed(docs: DataFrame, path: str, bounds: np.ndarray | None) -> DataFrame:
-    """bounds: (curve, tie) pairs between parts; None gives part 0 and no ids."""
+    """bounds: (curve, tie) pairs between parts; None gives the number of ids as part, and no ids."""
     small = tokenizer(path).model.get_vocab_size() <= 1 << 16
 
     def run(batches):
@@ -124,7 +134,7 @@ def _keyed(docs: DataFrame, path: str, bounds: np.ndarray | None) -> DataFrame:
             curve = curve_keys(ids)
             tie = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             if bounds is None:
-                part, ids = np.zeros(len(ids), np.int32), [None] * len(ids)
+                part, ids = np.array([len(x) // 4 + 1 for x in ids], np.int32), [None] * len(ids)
             else:
                 part = _part(curve, tie, bounds)
                 if small:
@@ -194,16 +204,22 @@ def pack(docs: DataFrame, path: str | None = None, parts: int | None = None) ->
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     Every document ends with id 2; a null or empty text is that id alone. Repeated rows are packed each.
-    ``parts`` ranges (default: the session's shuffle partitions) are packed side by side; a sequence_id
+    ``parts`` ranges (default: one for each RANGE_BYTES of text, the session's shuffle partitions at least, of
+    16,384 at most: a range is sorted on disk and read as a stream) are packed side by side; a sequence_id
     is the range's number times 2**32 and a running number. An empty table gives no rows.
     """
     spark, path = docs.sparkSession, path or vocabulary()
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # bounds come from about SAMPLE rows, those with the smallest hashes of their ids
-    share = min(1.0, SAMPLE / max(1, docs.count())) if parts > 1 else 0.0
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    # bounds come from the rows with the smallest hashes of their ids, about 16 for each range, weighed by their tokens
+    parts = parts or min(MOST_SAMPLED // 4, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // RANGE_BYTES)))
+    share = min(1.0, min(MOST_SAMPLED, max(SAMPLE, 16 * parts)) / max(1, rows))
     sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    pairs = sorted((r.curve, r.tie) for r in (_keyed(sample, path, None).select("curve", "tie").collect() if parts > 1 else []))
-    bounds = np.array([pairs[len(pairs) * k // parts] for k in range(1, parts)], np.int64).reshape(-1, 2) if pairs else np.zeros((0, 2), np.int64)
+    bounds = np.zeros((0, 2), np.int64)
+    if parts > 1 and rows:
+        keys = sorted((r.curve, r.tie, r.part) for r in _keyed(sample, path, None).select("curve", "tie", "part").collect())
+        weight = np.cumsum([n for *_, n in keys]) if keys else np.zeros(0)
+        at = np.searchsorted(weight, np.arange(1, parts) * (weight[-1] / parts)) if keys else np.zeros(0, int)
+        bounds = np.array([keys[k][:2] for k in np.unique(at)], np.int64).reshape(-1, 2)
     keyed = _keyed(docs, path, bounds).repartitionById(parts, "part").sortWithinPartitions("part", "curve", "tie", "doc_id", "ids")
     small = tokenizer(path).model.get_vocab_size() <= 1 << 16
 

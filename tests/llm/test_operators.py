@@ -167,6 +167,22 @@ def test_packing(spark, texts):
     assert all(n == 4096 or n & (n - 1) == 0 for n in sums.values())
 
 
+def test_vocabularies_that_cannot_be_read_by_words():
+    import glob
+    import os
+
+    from tokenizers import Tokenizer
+
+    texts = [x.encode() for x in ("Some Words, here. And  more!\nLine", "", "é ß don't")]
+    for path in sorted(glob.glob(os.path.join(os.path.dirname(packing.vocabulary()), "*.json"))):
+        try:
+            model = Tokenizer.from_file(path)
+        except Exception:  # not a vocabulary
+            continue
+        want = [np.array(model.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert packing.tokenizer(path).ids(texts) == want, path
+
+
 def test_hilbert_curve_steps_are_neighbours():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     path = grid[np.argsort(packing.hilbert(grid, 3))]
