@@ -28,7 +28,7 @@ HASHED = 512
 SAMPLE, MOST_SAMPLED = 4096, 1 << 16
 #: Bytes of text behind a range.
 RANGE_BYTES = 32 << 20
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 _MARK = re.compile(rb"(?<=[a-z])([.,!])(?=[\x20\x09-\x0D]|\Z)")
 
 
@@ -65,8 +65,8 @@ class WordTokenizer:
             known.clear()
         new = list({w for words in split for w in words if w not in known})
         if new:
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
+            for at in range(0, len(new), 4000):
+                part = new[at : at + 4000]
                 for w, e in zip(part, self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                     known[w] = np.array(e.ids, "<u4").tobytes()
         return [b"".join([known[w] for w in words]) for words in split]
@@ -127,7 +127,7 @@ def _keyed(docs: DataFrame, path: str, bounds: np.ndarray | None) -> DataFrame:
 
     def run(batches):
         words = tokenizer(path)
-        for batch, data, offsets in tb.blocks(batches):
+        for batch, data, offsets in tb.blocks(batches, limit=2 << 20):
             raw = data.tobytes()
             cuts = offsets.tolist()
             ids = words.ids([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 4 << 20
+HASHED_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -109,9 +110,18 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each word with A-Z lower-cased."""
+    """A hash of each word with A-Z lower-cased. Words are hashed HASHED_BYTES at a time (a longer word alone), so
+    that the tables of powers stay small; a hash does not depend on where its word stands."""
     if not len(start):
         return np.zeros(0, _U)
+    if end[-1] - start[0] > HASHED_BYTES and len(start) > 1:
+        out, at = [], 0
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(end, start[at] + HASHED_BYTES, "right")))
+            low = start[at]
+            out.append(word_hashes(data[low : end[to - 1]], start[at:to] - low, end[at:to] - low))
+            at = to
+        return np.concatenate(out)
     weighted = WORD_CODE[data]
     weighted *= powers(len(data))
     sums = np.add.reduceat(weighted, start)

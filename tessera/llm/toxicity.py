@@ -55,17 +55,17 @@ class Words:
         size = end - start
         self.trigram_word = np.repeat(np.arange(len(size)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-        low = tb.LOWER[data].astype(np.int64)
-        here = low[at]
-        left = np.where(at > np.repeat(start, size), low[np.maximum(at - 1, 0)], 1)
-        right = np.where(at + 1 < np.repeat(end, size), low[np.minimum(at + 1, max(len(data) - 1, 0))], 2)
+        low = tb.LOWER[data]
+        here = low[at].astype(np.int64)
+        left = np.where(at > np.repeat(start, size), low[np.maximum(at - 1, 0)], np.int64(1))
+        right = np.where(at + 1 < np.repeat(end, size), low[np.minimum(at + 1, max(len(data) - 1, 0))], np.int64(2))
         self.trigram = ((left * 0x9E37 + here * 0x85EB + right * 0xC2B3) * 0x27D4EB2F >> 7) % CHAR_SLOTS
         self.trigram = self.trigram.astype(np.int32)
         self.size = size
         begin = np.repeat(start, size)
         gram = here
         for k in range(1, 5):
-            gram = gram * 0x100000001B3 + np.where(at - k >= begin, low[np.maximum(at - k, 0)], 1)
+            gram = gram * 0x100000001B3 + np.where(at - k >= begin, low[np.maximum(at - k, 0)], np.int64(1))
         self.gram = (tb.mix(gram.astype(np.uint64)) % np.uint64(GRAM_SLOTS)).astype(np.int32)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +77,10 @@ class Words:
         counts = self.counts[row]
         first = np.minimum(k * STRIDE, np.maximum(counts - WINDOW, 0))
         place = first[:, None] + np.arange(WINDOW)
-        base = (np.cumsum(self.counts) - self.counts)[row]
         inside = place < counts[:, None]
-        index = np.full(place.shape, -1)
-        index[inside] = self.index[(base[:, None] + place)[inside]]
+        place += (np.cumsum(self.counts) - self.counts)[row][:, None]
+        index = np.full(place.shape, -1, np.int32)
+        index[inside] = self.index[place[inside]]
         return index, row
 
 
@@ -337,11 +337,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
         part |= (F.col("toxic") == label) & (order < int((1 << 30) * min(1.0, (n + 4 * n**0.5 + 1) / max(1, found.get(label, 1)))))
     known = known.where(part).withColumn("order", order).orderBy("order", "doc_id").limit(2 * SAMPLE)
     texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic", "order").collect()  # 2 * SAMPLE labels at most
-    rows = sorted({r.doc_id: r for r in rows}.values(), key=lambda r: (r.order, r.doc_id))
-    rows = [r for label, n in takes.items() for r in [r for r in rows if r.toxic == label][:n]]
+    rows = texts.join(F.broadcast(known), "doc_id").select("order", "doc_id", "toxic", "text").toArrow()  # 2 * SAMPLE labels at most
+    rows = rows.to_pandas().drop_duplicates("doc_id").sort_values(["order", "doc_id"])
+    rows = pd.concat([rows[rows.toxic == label][:n] for label, n in takes.items()])
     total = sum(found.values())
-    return train([r.text for r in rows], np.array([int(r.toxic) for r in rows]), found.get(1, 0) / total if total else None)
+    return train(rows.text.tolist(), rows.toxic.to_numpy().astype(int), found.get(1, 0) / total if total else None)
 
 
 def score_texts(docs: DataFrame, net: Network, keep: bool = False) -> DataFrame:
