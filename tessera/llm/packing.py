@@ -26,6 +26,8 @@ END = 2
 DIMS, BITS = 4, 10
 HASHED = 512
 SAMPLE, MOST_SAMPLED = 4096, 1 << 16
+#: Pieces (of 16 KB at most) sent on at once.
+OUT_ROWS = 512
 #: Bytes of text behind a range.
 RANGE_BYTES = 32 << 20
 CACHE_WORDS = 500_000
@@ -226,16 +228,17 @@ def pack(docs: DataFrame, path: str | None = None, parts: int | None = None) ->
     def run(batches):
         part, packer = None, None
         for batch in batches:
-            for p, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for p, doc, raw in zip(*(batch.column(k) for k in range(3)), strict=True):
+                p, raw = p.as_py(), raw.as_py()
                 if p != part:
                     if packer:
                         packer.end()
                         yield packer.batch()
                     part, packer = p, _Packer(p)
                 ids = np.frombuffer(raw, "<u2").astype("<u4") if small else np.frombuffer(raw, "<u4")
-                packer.add(doc, np.append(ids, np.uint32(END)).astype("<u4"))
-            if packer and len(packer.rows) > 0:
-                yield packer.batch()
+                packer.add(doc.as_py(), np.append(ids, np.uint32(END)).astype("<u4"))
+                if len(packer.rows) >= OUT_ROWS:
+                    yield packer.batch()
         if packer:
             packer.end()
             yield packer.batch()
