@@ -9,6 +9,7 @@ whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from functools import lru_cache
@@ -30,7 +31,7 @@ SAMPLE, MOST_SAMPLED = 4096, 1 << 16
 OUT_ROWS = 512
 #: Bytes of text behind a range.
 RANGE_BYTES = 32 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 _MARK = re.compile(rb"(?<=[a-z])([.,!])(?=[\x20\x09-\x0D]|\Z)")
 
 
@@ -45,6 +46,8 @@ class WordTokenizer:
     vocabulary, and its normaliser changes nothing across white space, so words may be read one by one."""
 
     def __init__(self, path: str):
+        # threads of its own would only compete with the executor's other tasks
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model, self.known, self.by_words = Tokenizer.from_file(path), {}, True
@@ -242,6 +245,7 @@ def pack(docs: DataFrame, path: str | None = None, parts: int | None = None) ->
         if packer:
             packer.end()
             yield packer.batch()
+        tb.released()
 
     return keyed.select("part", "doc_id", "ids").mapInArrow(run, PIECE)
 

@@ -6,6 +6,7 @@ Hashes are 64 bits wide: a polynomial over the bytes, finished by a strong mixer
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +90,16 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             to = min(n, at + rows, max(to, at + 1))
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+    data = offsets = batch = None
+    released()
+
+
+def released() -> None:
+    """Gives back what this Python worker no longer uses, for it lives on beside the next stage's work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
