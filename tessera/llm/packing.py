@@ -15,6 +15,7 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ SAMPLE, MOST_SAMPLED = 4096, 1 << 16
 OUT_ROWS = 512
 #: Bytes of text behind a range.
 RANGE_BYTES = 32 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 _MARK = re.compile(rb"(?<=[a-z])([.,!])(?=[\x20\x09-\x0D]|\Z)")
 
 
@@ -42,39 +43,64 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordTokenizer:
-    """Ids of texts, with the ids of each white-space word kept. White space ends every token of this
-    vocabulary, and its normaliser changes nothing across white space, so words may be read one by one."""
+    """Ids of texts, with the ids of each white-space word kept under its 64-bit hash. White space ends every token
+    of this vocabulary, and its normaliser changes nothing across white space, so words may be read one by one."""
 
     def __init__(self, path: str):
         # threads of its own would only compete with the executor's other tasks
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model, self.known, self.by_words = Tokenizer.from_file(path), {}, True
+        self.model, self.by_words = Tokenizer.from_file(path), True
+        self._forget()
         probes = [x.encode() for x in ("Ab c.", "a, b! c.", "x\ty\nz  w ", " lead AND Trail. ", "É ß x1.5, don't!", "a.b c,d")]
         # a vocabulary of another make is read text by text
         self.by_words = self.ids(probes) == self._whole(probes)
 
+    def _forget(self) -> None:
+        # hashes of known words in order, and where and how many their ids are in ``flat``
+        self.keys, self.at, self.n, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
     def _whole(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        found = []
+        for at in range(0, len(words), 4000):
+            found += [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast([w.decode() for w in words[at : at + 4000]], add_special_tokens=False)]
+        n = np.array([len(x) for x in found], np.int64)
+        keys, start = np.concatenate([self.keys, hashes]), np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
+        order = np.argsort(keys)
+        self.keys, self.at, self.n = keys[order], start[order], np.concatenate([self.n, n])[order]
+        self.flat = np.concatenate([self.flat, *found])
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_words:
             return self._whole(texts)
         # the vocabulary is lower case, and a mark between a letter and white space is a token run of its own:
         # so fewer words differ (texts that may hold a special token stay as they are)
-        split = [(t if b"<|" in t else _MARK.sub(rb" \1", t.lower())).split() for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        if new:
-            for at in range(0, len(new), 4000):
-                part = new[at : at + 4000]
-                for w, e in zip(part, self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        texts = [t if b"<|" in t else _MARK.sub(rb" \1", t.lower()) for t in texts]
+        special = {i for i, t in enumerate(texts) if b"<|" in t}
+        data = np.frombuffer(b"".join(b"" if i in special else t for i, t in enumerate(texts)), np.uint8)
+        start, end, counts = tb.words(data, np.cumsum([0, *(0 if i in special else len(t) for i, t in enumerate(texts))]))
+        code, distinct = pd.factorize(tb.word_hashes(data, start, end))
+        if len(self.keys) > CACHE_WORDS:
+            self._forget()
+        near = np.searchsorted(self.keys, distinct).clip(0, max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[near] != distinct) if len(self.keys) else np.arange(len(distinct))
+        if len(new):
+            first = np.empty(len(distinct), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            self._learn(distinct[new], [data[a:b].tobytes() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+        place = np.searchsorted(self.keys, distinct)[code]
+        n = self.n[place]
+        flat = self.flat[np.repeat(self.at[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype("<u4")
+        cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        out = [flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in special:
+            out[i] = self._whole([texts[i]])[0]
+        return out
 
 
 @lru_cache(2)
