@@ -93,7 +93,10 @@ def _crowding(counted: DataFrame) -> bytes:
     out = np.zeros((PIECES, CELLS // PIECES), np.uint8)
     for r in counted.select("piece", "counts").where("piece is not null").repartition(PIECES, "piece").mapInArrow(run, "piece int, ranks binary").collect():
         out[r.piece] = unpack(r.ranks)[0]
-    return pack(out.ravel())
+    packed = pack(out.ravel())
+    del out
+    tb.released()
+    return packed
 
 
 def prefix(n, limit: Fraction):
@@ -268,7 +271,8 @@ def linked_rows(docs: DataFrame, size: int, limit: Fraction) -> DataFrame:
     rows = passed.where("piece is null").select("doc_id", "tid", "n_shingles", "sid")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(parts(spark), -(-int(total * (1 - limit)) // ENTRIES))
-    chains = _chains(_postings(named, size, limit, _crowding(passed), buckets), limit, buckets)
+    # written, so that no task runs two Python workers
+    chains = kept(_chains(_postings(named, size, limit, _crowding(passed), buckets), limit, buckets))
     members = components(chains).selectExpr("node as sid", "root")
     # a class is read from the row with its smallest id
     classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.expr(f"1 + min(n_shingles) div {UNIT}").alias("units"))
@@ -294,7 +298,7 @@ def linked_rows(docs: DataFrame, size: int, limit: Fraction) -> DataFrame:
     found = kept(_compare(first.selectExpr("struct(root, k) as block", "sid", "sid as side", "shingles"), limit, spark))
     large = sets.where(F.col("m") > BLOCK)
     if not large.isEmpty():
-        found = found.unionByName(_across(large, found, limit, spark))
+        found = found.unionByName(kept(_across(large, found, limit, spark)))
     joined = components(found).selectExpr("node as j_sid", "root as joined")
     named_class = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("joined", "sid"))
     return looked_up(rows, "sid", joined, "j_sid").select("doc_id", "tid", "n_shingles", named_class.alias("class"))

@@ -341,7 +341,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     rows = rows.to_pandas().drop_duplicates("doc_id").sort_values(["order", "doc_id"])
     rows = pd.concat([rows[rows.toxic == label][:n] for label, n in takes.items()])
     total = sum(found.values())
-    return train(rows.text.tolist(), rows.toxic.to_numpy().astype(int), found.get(1, 0) / total if total else None)
+    net = train(rows.text.tolist(), rows.toxic.to_numpy().astype(int), found.get(1, 0) / total if total else None)
+    del rows
+    tb.released()
+    return net
 
 
 def score_texts(docs: DataFrame, net: Network, keep: bool = False) -> DataFrame:
@@ -359,13 +362,13 @@ def score_texts(docs: DataFrame, net: Network, keep: bool = False) -> DataFrame:
         names = docs.columns
 
         def run(batches):
-            for batch, data, offsets in tb.blocks(batches):
+            for batch, data, offsets in tb.blocks(batches, limit=2 << 20):
                 yield pa.RecordBatch.from_arrays([*batch.columns, of(batch, data, offsets)], [*names, "toxic_score"])
 
         return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
 
     def run_ids(batches):
-        for batch, data, offsets in tb.blocks(batches):
+        for batch, data, offsets in tb.blocks(batches, limit=2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), of(batch, data, offsets)], ["doc_id", "held_out", "score"])
 
     rows = docs.select("doc_id", "text", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
