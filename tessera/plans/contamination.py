@@ -160,11 +160,11 @@ _ORACLES = {
     "dc13_source_rule": "select doc_id, case when source is null then 'source_missing' else 'source' end as hit from documents where source is null or source in ('src1', 'src2')",
     "dc15_dedup_sources": f"with {_KEYS} select d.id as doc_id, d.source, f.first_source from keys d join (select k, min(source) as first_source from keys where side = 0 group by k) f on f.k = d.k where d.side = 0 and d.source > f.first_source",
     "dc18_summary": f"with {_GRAMS} select d.source, count(distinct h.doc_id) as train_items, count(distinct h.item_id) as eval_items from hits h join documents d on d.doc_id = h.doc_id group by d.source",
-    "dc19_verify_clean": "select 0 as left_over",
+    "dc19_verify_clean": f"with {_GRAMS} select count(*) as left_over from grams d join grams e on d.gram = e.gram and d.side = 0 and e.side = 1 where d.id not in (select doc_id from hits)",
     "dc20_first_reason": f"with {_GRAMS}, {_KEYS}, e as (select distinct d.id from keys d join keys x on d.k = x.k and d.side = 0 and x.side = 1) select doc_id, reason from (select doc_id, case when doc_id in (select id from e) then 'exact' when doc_id in (select doc_id from hits) then 'ngram13' when source = 'src1' then 'source' end as reason from documents) t where reason is not null",
     "dc21_containment": f"with {_GRAMS}, s8 as (select side, id, list_distinct(case when len(w) >= 8 then list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' ')) else [] end) as s from texts), f8 as (select side, id, len(s) as n, unnest(s) as g from s8), p as (select a.id as doc_id, b.id as item_id, a.n, b.n as m, count(*) as shared from f8 a join f8 b on a.g = b.g and a.side = 0 and b.side = 1 group by 1, 2, 3, 4) select doc_id, item_id, shared from (select *, row_number() over (partition by doc_id order by shared desc, item_id) as r from p) t where r = 1 and shared >= 0.05 * least(n, m)",
     "dc21_containment_half": f"with {_GRAMS}, s8 as (select side, id, list_distinct(case when len(w) >= 8 then list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' ')) else [] end) as s from texts), f8 as (select side, id, len(s) as n, unnest(s) as g from s8), p as (select a.id as doc_id, b.id as item_id, a.n, b.n as m, count(*) as shared from f8 a join f8 b on a.g = b.g and a.side = 0 and b.side = 1 group by 1, 2, 3, 4) select doc_id, item_id, shared from (select *, row_number() over (partition by doc_id order by shared desc, item_id) as r from p) t where r = 1 and shared >= 0.5 * least(n, m)",
-    "dc22_informative": f"with {_GRAMS} select doc_id, item_id from hits where len(list_distinct(string_split(gram, ' '))) >= 5 and len(list_filter(string_split(gram, ' '), lambda x: regexp_matches(x, '^\\p{{L}}{{3,}}$'))) >= 3",
+    "dc22_informative": f"with {_GRAMS} select distinct d.id as doc_id, e.id as item_id from grams d join grams e on d.gram = e.gram and d.side = 0 and e.side = 1 where len(list_distinct(string_split(d.gram, ' '))) >= 5 and len(list_filter(string_split(d.gram, ' '), lambda x: regexp_matches(x, '^\\p{{L}}{{3,}}$'))) >= 3",
     "dc25_overlap_abort": "select doc_id from documents where doc_id in (select doc_id from labels)",
     "fn01_words": f"select doc_id, len(@words[text]) as n_words, sha256({_NORM}) as normal from documents",
     "rt06_knn_vote": "with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings), n as (select a.vec_id as q, a.label as ql, b.vec_id, b.label, round(list_cosine_similarity(a.v, b.v), 9) as s from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0) select q, sum(case when label = ql then 1 else 0 end)::bigint as votes from (select *, row_number() over (partition by q order by s desc, vec_id) as r from n) t where r <= 15 group by q",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import contamination, dual, scored
+from . import checked, contamination, dual, scored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name, _sql in scored.SQL.items():
     QUERIES[_name], ORACLES[_name] = dual.query(_sql), dual.for_oracle(_sql)
-QUERIES |= contamination.QUERIES
-ORACLES |= contamination.ORACLES
+QUERIES |= contamination.QUERIES | checked.QUERIES
+ORACLES |= contamination.ORACLES | checked.ORACLES

@@ -40,9 +40,6 @@ def add(name: str, body: str, *parts: str) -> None:
 # ---- sources and filters
 add("src03_parquet", "select doc_id, lang, source, n_chars from documents")
 add("fl01_license", "select doc_id, case when contains(text, 'NC 4.0') then 'excluded' when contains(text, 'Licensed under') or contains(text, 'License') then 'marked' else 'missing' end as reason from documents")
-add("fl02_prefilter", """select reason, count(*) as n from (select case when contains(text, 'NC 4.0') then 'license' when @h8[cast(doc_id as string)] % 20 < 3 then 'reserved'
- when n_chars < 100 then 'trivial' else 'kept' end as reason from documents) t group by reason""")
-add("fl05_split_bucket", "select doc_id, @h8[concat(source, cast(doc_id as string))] % 20 as bucket from documents where @h8[concat(source, cast(doc_id as string))] % 20 < 3")
 add("fl06_folds", """select fold, split, count(*) as n from (select @h8[concat('0|', source, '|', cast(doc_id as string))] % 5 as fold,
  case when @h8[concat(source, '|', cast(doc_id as string))] % 10 < 6 then 'train' when @h8[concat(source, '|', cast(doc_id as string))] % 10 = 6 then 'cal' else 'test' end as split from documents) t group by fold, split""")
 add("fl07_duplicate_ids", "select l_orderkey, l_linenumber, count(*) as n from lineitem group by l_orderkey, l_linenumber having count(*) > 1")
@@ -114,15 +111,10 @@ add("wn07_ece_equal_width", "select tier, round(sum(abs(gap)) / sum(m), 9) as ec
 add("wn08_brier_logloss", "select tier, round(avg(power(conf - correct, 2)), 9) as brier, round(avg(-ln(greatest(1e-12, case when correct = 1 then conf else 1 - conf end))), 9) as logloss from scores group by tier", SCORES)
 add("wn09_matched_cwr", "select tier, round(sum(case when r <= k then 1 - correct else 0 end) / cast(count(*) as double), 9) as matched_cwr from (select *, sum(gate) over (partition by tier) as k from ranked) t group by tier", RANKED)
 add("wn10_topk_risk", "select tier, round(avg(1e0 - correct), 9) as risk from ranked where r <= 50 group by tier", RANKED)
-add("wn11_refusal", "select tier, round(avg(case when r > n_ans then 1e0 - correct end), 9) as refused_precision from (select *, greatest(1, cast(round(0.8e0 * n + 1e-9) as bigint)) as n_ans from ranked) t group by tier", RANKED)
 add("wn12_precision_at_coverage", "select tier, round(avg(cast(correct as double)), 9) as prec from ranked where r <= ceil(0.5e0 * n) group by tier", RANKED)
 WIL = "((p + 1.9208e0 / r) - 1.96e0 * sqrt((p * (1 - p) + 0.9604e0 / r) / r)) / (1 + 3.8416e0 / r)"
-add("wn13_largest_certified", f"select tier, max(r) as size from (select tier, r, 1 - risk as p from curve) t where r >= 20 and p >= 0.6 and {WIL} >= 0.55 group by tier", RANKED)
+add("wn13_largest_certified", f"select tier, max(r) as size from (select tier, r, 1 - risk as p from curve) t where r >= 20 and p >= 0.84 and {WIL} >= 0.80 group by tier", RANKED)
 add("wn14_pick_threshold", f"select tier, coalesce(max(case when {WIL} >= 0.7 then r end), max(case when p >= 0.7 then r end), max(cast(floor(n / 2e0) as bigint))) as pick from (select tier, r, n, 1 - risk as p from curve where r >= ceil(0.05e0 * n)) t group by tier", RANKED)
-add("wn15_choose_threshold", "select tier, min(conf) as thr from (select *, lead(conf) over (partition by tier order by r) as next_conf from curve) t where (next_conf is null or next_conf <> conf) and r >= 30 and risk <= 0.3 group by tier", RANKED)
-add("wn16_taus", """select tier, min(case when n_hi >= 20 and (w_hi + 1e0) / (n_hi + 1) <= 0.3 then conf end) as tau_hi, max(case when n_lo >= 20 and w_lo / cast(n_lo as double) >= 0.5 then conf end) as tau_lo from (
- select tier, conf, sum(m) over (partition by tier order by conf desc) as n_hi, sum(w) over (partition by tier order by conf desc) as w_hi, sum(m) over (partition by tier order by conf) as n_lo, sum(w) over (partition by tier order by conf) as w_lo
- from (select tier, conf, count(*) as m, sum(1 - correct) as w from scores group by tier, conf) g) t group by tier""", SCORES)
 add("wn17_balanced_threshold", "select tier, max(round((tp / cast(p as double) + 1 - fp / cast(q as double)) / 2, 9)) as balanced from (select tier, sum(correct) over (partition by tier order by conf desc) as tp, sum(1 - correct) over (partition by tier order by conf desc) as fp, sum(correct) over (partition by tier) as p, sum(1 - correct) over (partition by tier) as q from scores) t group by tier", SCORES)
 add("wn18_stratified_sample", """select stratum, doc_id from (select s.source as stratum, d.doc_id, a.take, row_number() over (partition by s.source order by @h8[concat('7|', s.source, '|', cast(d.doc_id as string))], d.doc_id) as r from documents d join
  (select source from documents group by source) s on s.source = d.source join (select source, base + case when row_number() over (order by rest desc, source desc) <= 200 - sum(base) over () then 1 else 0 end as take from
@@ -134,7 +126,6 @@ add("wn21_shallow_cap", "select doc_id from (select doc_id, deep, row_number() o
 add("wn22_two_distinct", "select task_id, norm_hash from (select task_id, norm_hash, row_number() over (partition by task_id order by @h8[concat('s|', cast(norm_hash as string))], norm_hash) as r from (select distinct task_id, norm_hash from cands) d) t where r <= 2", CANDIDATES)
 add("wn23_best_candidate", "select task_id, call_index from (select *, row_number() over (partition by task_id order by case status when 'VERIFIED' then 1 else 0 end desc, size, norm_hash, call_index) as r from cands) t where r = 1", CANDIDATES)
 add("wn24_best_of_k", "select task_id, tier, conf from (select *, row_number() over (partition by task_id order by gate desc, conf desc, tier) as r from scores) t where r = 1", SCORES)
-add("wn25_chain_check", "select event_id, prev from (select event_id, lag(event_id) over (order by event_id) as prev from events) t where prev is not null and prev <> event_id - 1")
 add("so01_stable_order", "select domain, task_id, row_number() over (order by domain, task_id) as place from (select lang as domain, doc_id as task_id from documents) t")
 add("so02_hash_order", "select doc_id, row_number() over (order by @h8[concat(source, cast(doc_id as string))], doc_id) as place from documents")
 add("so04_head_sample", "select doc_id from (select doc_id, row_number() over (order by @h8[concat('5|', cast(doc_id as string))], doc_id) as r from documents) t where r <= 100")
@@ -163,8 +154,9 @@ add("st20_band", "select cluster, round(avg(cast(correct as double)), 9) as top1
 # ---- policies
 add("rt01_cascade", "select task_id, final_tier, answered, correct, round(cost, 6) as cost from played", ROUTED)
 add("rt02_router", "select task_id, start_tier, case when start_tier <= 0 and g0 = 1 then 0 when start_tier <= 1 and g1 = 1 then 1 else 2 end as final_tier from (select *, case when p0 >= 0.6 then 0 when p1 >= 0.6 then 1 else 2 end as start_tier from wide) t", ROUTED)
-add("rt03_choose_tau", """select tau, acc, round(mean_cost, 6) as mean_cost from (select tau, round(avg(cast(case when p0 >= tau then c0 when p1 >= tau then c1 else c2 end as double)), 9) as acc, avg(case when p0 >= tau then k0 when p1 >= tau then k1 else k2 end) as mean_cost
- from wide cross join (select * from (values (0.2e0), (0.4e0), (0.6e0), (0.8e0)) g(tau)) g group by tau) t""", ROUTED)
+add("rt03_choose_tau", """select tau, round(acc, 9) as acc, round(mean_cost, 6) as mean_cost, acc >= target as reached from (select *, row_number() over (order by case when acc >= target then 0 else 1 end, case when acc >= target then mean_cost else -tau end, tau) as nth from (
+ select tau, avg(cast(case when p0 >= tau then c0 when p1 >= tau then c1 else c2 end as double)) as acc, avg(case when p0 >= tau then k0 when p1 >= tau then k1 else k2 end) as mean_cost from wide cross join (select * from (values (0.2e0), (0.4e0), (0.6e0), (0.8e0)) g(tau)) g group by tau) t
+ cross join (select avg(cast(correct as double)) as target from played) p) r where nth = 1""", ROUTED)
 add("rt04_oracle_ceiling", "select round(avg(cast(greatest(c0, c1, c2) as double)), 9) as acc, round(avg(case when c0 = 1 then k0 when c1 = 1 then k1 else k2 end), 6) as cost from wide", ROUTED)
 add("rt05_validate", "select count(*) as n, count_if(abs(cost - (k0 + case when g0 = 0 then k1 else 0 end + case when g0 = 0 and g1 = 0 then k2 else 0 end)) > 1e-6) as differ from played", ROUTED)
 add("rt07_keyword_router", "select t.doc_id, 1 + 2.5e0 * (case when contains(padded, ' the ') then 1 else 0 end + case when contains(padded, ' der ') then 1 else 0 end) as score from (select doc_id, concat(' ', lower(text), ' ') as padded from documents) t")

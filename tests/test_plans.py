@@ -15,7 +15,6 @@ from tessera.operators import decontaminate as dc
 from tessera.plans import dual, registry
 
 SF = "/root/testdata/sf0.001"
-HEAVY = {"jn11_jaccard_documents"}
 
 
 def _value(v):
@@ -25,7 +24,7 @@ def _value(v):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - HEAVY)[::3])
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_same_rows_as_sql(spark, name):
     got = registry.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
