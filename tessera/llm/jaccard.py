@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .katz import pack, unpack
-from .shared import components, kept, looked_up, parts, stars
+from .shared import components, kept, looked_up, parts, stars, touched
 
 BLOCK, UNIT, PIVOTS = 1024, 1024, 16
 #: Cells of the counts that order shingles by rarity, and the pieces they are added up in.
@@ -36,6 +36,7 @@ CELLS = 1 << CELL_BITS
 ENTRIES = 1 << 20
 #: Bytes of text worked on at once (a longer text stands alone).
 TEXT_BYTES = 1 << 20
+WORD = r"[^\x20\x09-\x0D]"
 ROW_NAMES = ["doc_id", "tid", "n_shingles", "sid", "piece", "counts"]
 _U = np.uint64
 
@@ -279,7 +280,7 @@ def linked_rows(docs: DataFrame, size: int, limit: Fraction) -> DataFrame:
     classes = kept(classes)
     wanted = kept(members.join(classes, "sid").select("doc_id", F.col("sid").alias("want"), "root", "units"))
     cells = wanted.groupBy(F.col("root").alias("m_root")).agg(F.sum("units").alias("m"))
-    wanted = looked_up(wanted, "root", cells, "m_root").select(F.col("doc_id").alias("w_doc"), "want", "root", "units", "m")
+    wanted = kept(looked_up(wanted, "root", cells, "m_root").select(F.col("doc_id").alias("w_doc"), "want", "root", "units", "m"))
 
     def read_sets(batches):
         for batch, data, offsets in tb.blocks(batches, limit=TEXT_BYTES):
@@ -289,7 +290,7 @@ def linked_rows(docs: DataFrame, size: int, limit: Fraction) -> DataFrame:
             blobs = [values[ends[i] - n[i] : ends[i]].tobytes() for i in right.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(sid[right]), *(batch.column(k).take(pa.array(right)) for k in (2, 3, 4)), pa.array(blobs, pa.binary())], ["sid", "root", "units", "m", "shingles"])
 
-    read = named.join(wanted, F.col("doc_id") == F.col("w_doc")).select("text", "want", "root", "units", "m")
+    read = touched(named, "doc_id", wanted, "w_doc").join(wanted, F.col("doc_id") == F.col("w_doc")).select("text", "want", "root", "units", "m")
     sets = kept(read.mapInArrow(read_sets, "sid long, root long, units long, m long, shingles binary"))
     several = F.expr(f"cast(ceil(m / {BLOCK}) as int)")
     mixed = F.xxhash64("sid", F.lit("block"))
@@ -346,17 +347,22 @@ def one_of_each(docs: DataFrame, size: int = 5, limit: Fraction = Fraction(8, 10
     Rows without doc_id and rows without shingles link with nothing, and all stay. Rows of one doc_id whose texts
     do not link are rows of classes of their own.
     """
-    rows = linked_rows(docs, size, limit).where("class is not null")
+    rows = kept(linked_rows(docs, size, limit).where("class is not null"))
     best = rows.groupBy("class").agg(F.min(F.struct("doc_id", "tid")).alias("k"))
     each = rows.groupBy("class", "doc_id", "tid").agg(F.count(F.lit(1)).alias("copies")).selectExpr("class as e_class", "doc_id as e_doc", "tid as e_tid", "copies")
     best = best.join(each, (F.col("class") == F.col("e_class")) & (F.col("k.doc_id") == F.col("e_doc")) & (F.col("k.tid") == F.col("e_tid"))).select("e_doc", "e_tid", "copies")
     best = kept(best)
+    # only texts that may go, or stand there several times, are shuffled
+    single = best.where("copies = 1")
+    torn = kept(rows.join(single, (F.col("doc_id") == F.col("e_doc")) & (F.col("tid") == F.col("e_tid")), "left_anti").select(F.col("doc_id").alias("t_doc")))
+    worded = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(WORD))
+    calm, rest = touched(worded, "doc_id", torn, "t_doc", "left_anti"), touched(worded, "doc_id", torn, "t_doc")
     key = (F.col("doc_id") == F.col("e_doc")) & (F.xxhash64("text") == F.col("e_tid"))
-    stay = docs.join(best.where("copies = 1"), key, "left_semi")
-    several = docs.join(best.where("copies > 1"), key, "left_semi")
+    stay = rest.join(single, key, "left_semi")
+    several = rest.join(best.where("copies > 1"), key, "left_semi")
     several = several.groupBy("doc_id", F.xxhash64("text").alias("e_tid")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    alone = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return stay.unionByName(several).unionByName(alone)
+    alone = docs.where(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(WORD))
+    return calm.unionByName(stay).unionByName(several).unionByName(alone)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
