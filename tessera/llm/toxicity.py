@@ -29,6 +29,7 @@ INPUT = WORD_DIM + CHAR_DIM + 2
 GRAM_SLOTS = 1 << 18
 SAMPLE, SAMPLE_CHARS, CUT = 6000, 20_000, 0.3
 BATCH_WINDOWS = 4096
+LEAST_STEPS = 64
 _F = np.float32
 
 
@@ -270,8 +271,8 @@ def train(texts: list[str], labels: np.ndarray, rate: float | None = None, round
     clue = net.inputs(words)[:, -2:].max(1)
     first = clue[index].max(1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    step = 0
-    for turn in range(rounds):
+    step = turn = 0
+    while turn < rounds or step < LEAST_STEPS:  # a small sample has few steps in a turn
         x = net.inputs(words)
         rank = first if turn == 0 else net.logits(x, index)
         order = np.lexsort((-rank, row))
@@ -293,6 +294,7 @@ def train(texts: list[str], labels: np.ndarray, rate: float | None = None, round
                 m += _F(0.1) * (g - m)
                 v += _F(0.01) * (g * g - v)
                 net.p[k] -= (_F(0.01) * (m / _F(1 - 0.9**step)) / (np.sqrt(v / _F(1 - 0.99**step)) + _F(1e-6))).astype(_F)
+        turn += 1
     slope, offset = _calibrated(net.highest(*_block(list(kept[0])))[0], kept[1])
     if rate is not None and 0 < rate < 1:
         sample = kept[1].mean()
@@ -312,14 +314,15 @@ def _subset(words: Words, used: np.ndarray) -> Words:
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic of x, by Newton's method with a little ridge."""
+    """Slope and offset of a logistic of x, by Newton's method with a little ridge; steps are bounded, as labels that
+    are told apart wholly make them overshoot."""
     a, b = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(200):
         p = _sigmoid(a * x + b)
         w = p * (1 - p) + 1e-6
         g = np.array([((p - y) * x).sum() + 0.1 * a, (p - y).sum()])
         h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum()]])
-        d = np.linalg.solve(h, g)
+        d = np.clip(np.linalg.solve(h, g), -1, 1)
         a, b = a - d[0], b - d[1]
     return float(a), float(b)
 
