@@ -84,7 +84,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
     """d(0..KEPT + 1); d(r) is 1 above KEPT. counts_of_counts[r]: kinds seen r times, r up to KEPT + 1.
-    A ratio that Good-Turing leaves outside (0, 1), as few data can, becomes r / (r + 1) of what it lacks."""
+    A ratio that Good-Turing leaves outside (0, 1), as few data can, becomes (r - 1/2) / r."""
     n = counts_of_counts.astype(float)
     d = np.ones(KEPT + 2)
     over = (KEPT + 1) * n[KEPT + 1] / n[1] if n[1] else 1.0

@@ -285,6 +285,9 @@ def coefficients(raw: bytes) -> dict:
             found = [{"id": body[6 + 3 * i], "h": body[7 + 3 * i] >> 4, "v": body[7 + 3 * i] & 15, "quant": body[8 + 3 * i]} for i in range(parts)]
             most_h, most_v = max(c["h"] for c in found), max(c["v"] for c in found)
             mcu_w, mcu_h = -(-width // (8 * most_h)), -(-height // (8 * most_v))
+            # a scan of first DC bits spends a bit a block at least, so that a damaged size is told before it is allocated
+            if sum(mcu_w * c["h"] * mcu_h * c["v"] for c in found) > 8 * len(raw):
+                raise Broken("more blocks than bits")
             for c in found:
                 c |= {"wide": mcu_w * c["h"], "high": mcu_h * c["v"], "own_w": -(-(-(-width * c["h"] // most_h)) // 8), "own_h": -(-(-(-height * c["v"] // most_v)) // 8)}
                 c["coef"] = np.zeros((c["wide"] * c["high"], 64), np.int32)
@@ -421,16 +424,23 @@ def unpack_payload(frame: dict) -> bytes:
 TENSOR = "height int, width int, rgb binary"
 
 
+def whole_file(raw: bytes) -> bool:
+    """Whether the end of the image follows its last scan: neither marker stands inside a scan's own bytes."""
+    return raw.rfind(b"\xff\xd9") > raw.rfind(b"\xff\xda") >= 0
+
+
 def decode_images(frame: DataFrame, key: str, image: str) -> DataFrame:
-    """key, height, width and RGB tensor (height * width * 3 bytes) of each image; all null for a null or broken one."""
+    """key, height, width and RGB tensor (height * width * 3 bytes) of each image; all null for a null,
+    damaged or cut-off one (damage that leaves a readable file can't be told). Repeated keys stay; an empty table
+    gives no rows."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for raw in batch.column(1).to_pylist():
                 try:
-                    rgb = to_rgb(coefficients(raw)) if raw is not None else None
-                except (Broken, IndexError, KeyError):
+                    rgb = to_rgb(coefficients(raw)) if raw is not None and whole_file(raw) else None
+                except (ValueError, LookupError, ArithmeticError, TypeError):  # what reading damaged bytes raises
                     rgb = None
                 rows.append((None, None, None) if rgb is None else (rgb.shape[0], rgb.shape[1], rgb.tobytes()))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
