@@ -32,7 +32,7 @@ SAMPLE, MOST_SAMPLED = 4096, 1 << 16
 OUT_ROWS = 512
 #: Bytes of text behind a range.
 RANGE_BYTES = 32 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 _MARK = re.compile(rb"(?<=[a-z])([.,!])(?=[\x20\x09-\x0D]|\Z)")
 
 
