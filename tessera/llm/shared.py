@@ -77,19 +77,6 @@ def looked_up(frame: DataFrame, key: str, values: DataFrame, value_key: str) ->
     return frame.where(~is_hot).join(values, on, "left").unionByName(few)
 
 
-#: Buckets of a filter by key: so many rows at most are broadcast, at any size of the input.
-FILTER = 1 << 19
-
-
-def touched(frame: DataFrame, key: str, keys: DataFrame, its_key: str, how: str = "left_semi") -> DataFrame:
-    """Rows of ``frame`` whose key falls into a bucket that holds one of ``keys`` (all that have such a key, and some
-    more, the more the fuller the buckets are), or with ``left_anti`` the others: so that a join that only these need
-    leaves the others' texts where they are."""
-    bucket = lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER)).cast("int")
-    some = keys.select(bucket(its_key).alias("f_bucket")).distinct()
-    return frame.join(F.broadcast(some), bucket(key) == F.col("f_bucket"), how)
-
-
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) of all nodes of the edges but the smallest ones themselves."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
