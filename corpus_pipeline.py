@@ -50,7 +50,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The stages before packing can't be written in SQL; tests compare them with brute force.
+#: Neither training nor packing can be written in SQL; tests/llm/test_pipeline.py compares each stage, and the whole,
+#: with plain Python.
 ORACLE_SQL = None
 
 
