@@ -7,7 +7,11 @@
    Within an index list, ordered by size, neighbours whose sizes can link are chained: classes that are in no
    common chain component can't link, and are never compared. A list's runs are cut to their ends where they
    are read, so that a shingle of a third of all sets makes no long list.
-3. Each chain component is compared exactly. One of more than ``BLOCK`` units (a set is one, and one more
+3. Sets of a chain component are sifted by their counts by cells of the shingles' hash (a byte for about every
+   eight shingles): two sets differ in no fewer shingles than these counts do, so that pairs whose counts differ
+   too much can't link, and texts of sets that are in no other pair are not read again, however many chains the
+   prefixes of a large input make.
+4. Each component of what is left is compared exactly. One of more than ``BLOCK`` units (a set is one, and one more
    for every ``UNIT`` shingles, so that blocks are bounded in bytes) is cut into blocks, first each
    by itself with some pivots of the component, so that most sets find their links; then only pairs of
    blocks that are not yet joined. Lists are cut at the positions where sizes can't link (block skipping),
@@ -17,6 +21,7 @@
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .katz import pack, unpack
-from .shared import components, kept, looked_up, parts, stars
+from .shared import EDGES_AT_ONCE, components, kept, looked_up, parts, stars, touched
 
 BLOCK, UNIT, PIVOTS = 1024, 1024, 16
 #: Cells of the counts that order shingles by rarity, and the pieces they are added up in.
@@ -36,7 +41,11 @@ CELLS = 1 << CELL_BITS
 ENTRIES = 1 << 20
 #: Bytes of text worked on at once (a longer text stands alone).
 TEXT_BYTES = 1 << 20
-ROW_NAMES = ["doc_id", "tid", "n_shingles", "sid", "piece", "counts"]
+ROW_NAMES = ["doc_id", "tid", "n_shingles", "sid", "marks", "piece", "counts"]
+#: A set's marks: its shingles by cells, about MARK of them in each, 2**MARK_BITS[0] to 2**MARK_BITS[1] cells.
+MARK, MARK_BITS = 8, (4, 12)
+#: Sets of a chain component and size band whose marks are compared pair by pair; more of them stay together.
+SIFTED = 1 << 15
 _U = np.uint64
 
 
@@ -52,8 +61,18 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     return values, n, tb.signed(tb.mix(sid ^ tb.mix(n.astype(_U))))
 
 
+def marks_of(values: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Of each row's sorted shingles: their counts by cells, which are the hash's first bits; 255 at most."""
+    bits = np.clip(np.ceil(np.log2(np.maximum(n, 1) / MARK)), *MARK_BITS).astype(np.int64)
+    end = np.cumsum(1 << bits)
+    row = tb.row_of(n)
+    at = (values >> (_U(64) - bits[row].astype(_U))).astype(np.int64) + (end - (1 << bits))[row]
+    counts = np.minimum(np.bincount(at, minlength=end[-1] if len(end) else 0), 255).astype(np.uint8)
+    return [counts[b - (1 << k) : b].tobytes() for b, k in zip(end.tolist(), bits.tolist(), strict=True)]
+
+
 def _rows_and_counts(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each of ``docs`` (doc_id, tid: a hash of the text, n_shingles, sid) and, in one pass with them,
+    """A row for each of ``docs`` (doc_id, tid: a hash of the text, n_shingles, sid, marks) and, in one pass with them,
     rows (piece, counts) of the distinct sets' shingles by cell, of each task."""
 
     def run(batches):
@@ -65,15 +84,15 @@ def _rows_and_counts(docs: DataFrame, size: int) -> DataFrame:
             np.add.at(counts, (values[first[tb.row_of(n)]] >> _U(64 - CELL_BITS)).astype(np.int64), np.uint32(1))
             rows += batch.num_rows
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sid), none.cast(pa.int32()), none.cast(pa.binary())], ROW_NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sid), pa.array(marks_of(values, n), pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], ROW_NAMES)
         if rows:
             some = [k for k, c in enumerate(np.split(counts, PIECES)) if c.any()]
             blobs = [pack(np.minimum(c, 255).astype(np.uint8), np.flatnonzero(c >= 255).astype(np.int32), c[c >= 255]) for c in (np.split(counts, PIECES)[k] for k in some)]
             none = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ROW_NAMES)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ROW_NAMES)
 
     ids = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
-    return ids.mapInArrow(run, "doc_id long, tid long, n_shingles long, sid long, piece int, counts binary")
+    return ids.mapInArrow(run, "doc_id long, tid long, n_shingles long, sid long, marks binary, piece int, counts binary")
 
 
 def _crowding(counted: DataFrame) -> bytes:
@@ -192,6 +211,49 @@ def _chains(postings: DataFrame, limit: Fraction, buckets: int) -> DataFrame:
     return postings.repartitionById(buckets, "bucket").select("blob").mapInArrow(run, "a long, b long")
 
 
+def _may_link(sid: np.ndarray, n: np.ndarray, marks: list[bytes], limit: Fraction):
+    """(a, b): stars of the sets that may link by their sizes and marks; at most EDGES_AT_ONCE pairs and a set's held."""
+    up, down = limit.numerator, limit.denominator
+    order = np.argsort(n, kind="stable")
+    sid, n = sid[order], n[order]
+    cells = min(map(len, marks))
+    # counts by more cells are added up to those by fewer
+    counts = np.array([np.frombuffer(marks[i], np.uint8).reshape(cells, -1).sum(axis=1) for i in order.tolist()], np.int32)
+    last = np.searchsorted(up * n, down * n, "right")
+    held, pairs = [], 0
+    for i in range(len(n)):
+        others = np.arange(i + 1, last[i])
+        least = np.abs(counts[i + 1 : last[i]] - counts[i]).sum(axis=1)
+        others = others[least * (down + up) <= (n[i] + n[i + 1 : last[i]]) * (down - up)]
+        if len(others):
+            held.append((np.full(len(others), sid[i]), sid[others]))
+            pairs += len(others)
+        if pairs > EDGES_AT_ONCE:
+            held = [stars(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+            pairs = len(held[0][0])
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def _sifted(marked: DataFrame, limit: Fraction) -> DataFrame:
+    """node, root: components of the sets (root, sid, n, marks) that may link. Sets that link are in one size band or
+    in neighbouring ones; each is in its own and in the next."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sid, first = np.unique(table.column("sid").to_numpy(), return_index=True)
+        if len(sid) > SIFTED:
+            a, b = stars(sid, np.full(len(sid), sid[0]))
+        else:
+            a, b = _may_link(sid, table.column("n").to_numpy()[first], table.column("marks").take(pa.array(first)).to_pylist(), limit)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    wide = max(1e-3, -math.log(limit)) * (1 + 1e-9)
+    band = F.floor(F.ln("n") / wide).cast("int")
+    banded = marked.select("root", "sid", "n", "marks", F.explode(F.array(band, band + 1)).alias("band"))
+    return components(kept(banded.groupBy("root", "band").applyInArrow(run, "a long, b long")))
+
+
 class _Found:
     """Union-find over the sets of a block."""
 
@@ -277,9 +339,13 @@ def linked_rows(docs: DataFrame, size: int, limit: Fraction) -> DataFrame:
     # a class is read from the row with its smallest id
     classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.expr(f"1 + min(n_shingles) div {UNIT}").alias("units"))
     classes = kept(classes)
-    wanted = kept(members.join(classes, "sid").select("doc_id", F.col("sid").alias("want"), "root", "units"))
+    chained = kept(members.join(classes, "sid").select(F.col("doc_id").alias("c_doc"), F.col("sid").alias("want"), "root", "units"))
+    marked = passed.where("piece is null").select("doc_id", "sid", F.col("n_shingles").alias("n"), "marks")
+    marked = touched(marked, ["sid"], chained, ["want"]).join(chained, (F.col("doc_id") == F.col("c_doc")) & (F.col("sid") == F.col("want"))).select("root", "sid", "n", "marks")
+    near = _sifted(marked, limit).withColumnRenamed("root", "near")
+    wanted = kept(chained.join(near, F.col("want") == F.col("node")).select(F.col("c_doc").alias("doc_id"), "want", F.col("near").alias("root"), "units"))
     cells = wanted.groupBy(F.col("root").alias("m_root")).agg(F.sum("units").alias("m"))
-    wanted = looked_up(wanted, "root", cells, "m_root").select(F.col("doc_id").alias("w_doc"), "want", "root", "units", "m")
+    wanted = kept(looked_up(wanted, "root", cells, "m_root").select(F.col("doc_id").alias("w_doc"), "want", "root", "units", "m"))
 
     def read_sets(batches):
         for batch, data, offsets in tb.blocks(batches, limit=TEXT_BYTES):
@@ -289,7 +355,7 @@ def linked_rows(docs: DataFrame, size: int, limit: Fraction) -> DataFrame:
             blobs = [values[ends[i] - n[i] : ends[i]].tobytes() for i in right.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(sid[right]), *(batch.column(k).take(pa.array(right)) for k in (2, 3, 4)), pa.array(blobs, pa.binary())], ["sid", "root", "units", "m", "shingles"])
 
-    read = named.join(wanted, F.col("doc_id") == F.col("w_doc")).select("text", "want", "root", "units", "m")
+    read = touched(named, ["doc_id"], wanted, ["w_doc"]).join(wanted, F.col("doc_id") == F.col("w_doc")).select("text", "want", "root", "units", "m")
     sets = kept(read.mapInArrow(read_sets, "sid long, root long, units long, m long, shingles binary"))
     several = F.expr(f"cast(ceil(m / {BLOCK}) as int)")
     mixed = F.xxhash64("sid", F.lit("block"))
@@ -346,17 +412,25 @@ def one_of_each(docs: DataFrame, size: int = 5, limit: Fraction = Fraction(8, 10
     Rows without doc_id and rows without shingles link with nothing, and all stay. Rows of one doc_id whose texts
     do not link are rows of classes of their own.
     """
-    rows = linked_rows(docs, size, limit).where("class is not null")
+    rows = kept(linked_rows(docs, size, limit).where("class is not null"))
     best = rows.groupBy("class").agg(F.min(F.struct("doc_id", "tid")).alias("k"))
     each = rows.groupBy("class", "doc_id", "tid").agg(F.count(F.lit(1)).alias("copies")).selectExpr("class as e_class", "doc_id as e_doc", "tid as e_tid", "copies")
     best = best.join(each, (F.col("class") == F.col("e_class")) & (F.col("k.doc_id") == F.col("e_doc")) & (F.col("k.tid") == F.col("e_tid"))).select("e_doc", "e_tid", "copies")
     best = kept(best)
+    single, repeated = best.where("copies = 1"), best.where("copies > 1")
+    # only texts that may go, or stand there several times, are shuffled
+    torn = kept(rows.join(single, (F.col("doc_id") == F.col("e_doc")) & (F.col("tid") == F.col("e_tid")), "left_anti").select("doc_id", "tid"))
+    own = [F.col("doc_id"), F.xxhash64("text")]
     key = (F.col("doc_id") == F.col("e_doc")) & (F.xxhash64("text") == F.col("e_tid"))
-    stay = docs.join(best.where("copies = 1"), key, "left_semi")
-    several = docs.join(best.where("copies > 1"), key, "left_semi")
+    linked = F.col("doc_id").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    worded = docs.where(linked)
+    stay = touched(worded, own, torn, ["doc_id", "tid"]).join(single, key, "left_semi")
+    out = docs.where(~linked).unionByName(touched(worded, own, torn, ["doc_id", "tid"], holds=False)).unionByName(stay)
+    if repeated.isEmpty():
+        return out
+    several = touched(worded, own, repeated, ["e_doc", "e_tid"]).join(repeated, key, "left_semi")
     several = several.groupBy("doc_id", F.xxhash64("text").alias("e_tid")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    alone = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return stay.unionByName(several).unionByName(alone)
+    return out.unionByName(several)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

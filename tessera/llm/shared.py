@@ -77,6 +77,25 @@ def looked_up(frame: DataFrame, key: str, values: DataFrame, value_key: str) ->
     return frame.where(~is_hot).join(values, on, "left").unionByName(few)
 
 
+#: Bits of a filter for each key, and the most words of 64 bits, so that what is broadcast is bounded: beyond 5.6
+#: million keys more rows pass.
+KEY_BITS, FILTER_WORDS = 12, 1 << 20
+
+
+def touched(frame: DataFrame, key: list, keys: DataFrame, its_key: list, holds: bool = True) -> DataFrame:
+    """Rows of ``frame`` whose key may be one of ``keys`` (all that are, and few more), or without ``holds`` the others:
+    so that a join that only these need leaves the others' texts where they are. ``keys`` (written before: it is read
+    twice) sets three bits in a word of 64; words are as many as its rows need at any size of the input."""
+    words = min(FILTER_WORDS, max(1, -(-keys.count() * KEY_BITS // 64)))
+    word = lambda k: F.pmod(F.xxhash64(*k, F.lit("word")), F.lit(words))
+    bit = lambda k, at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(F.xxhash64(*k), at).bitwiseAND(63).cast("int"))
+    mask = lambda k: bit(k, 0).bitwiseOR(bit(k, 6)).bitwiseOR(bit(k, 12))
+    bits = keys.select(word(its_key).alias("f_word"), mask(its_key).alias("f_bits")).groupBy("f_word").agg(F.bit_or("f_bits").alias("f_bits"))
+    own = frame.select("*", word(key).alias("t_word"), mask(key).alias("t_mask")).join(F.broadcast(bits), F.col("t_word") == F.col("f_word"), "left")
+    may = F.coalesce(F.col("f_bits").bitwiseAND(F.col("t_mask")) == F.col("t_mask"), F.lit(False))
+    return own.where(may if holds else ~may).select(*frame.columns)
+
+
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) of all nodes of the edges but the smallest ones themselves."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)

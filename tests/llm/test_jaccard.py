@@ -4,6 +4,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, shared
 
@@ -122,3 +123,34 @@ def test_large_components_in_small_blocks(spark):
             assert got == {i: (len(sets[i]), want[i]) for i in range(len(texts))}
     finally:
         jaccard.BLOCK = before
+
+
+def test_touched_keeps_all_rows_with_a_key_and_few_more(spark):
+    frame = spark.range(20_000).selectExpr("id", "id as text")
+    keys = shared.kept(spark.range(0, 20_000, 8).selectExpr("id as k"))
+    got = {r.id for r in shared.touched(frame, [F.col("id")], keys, [F.col("k")]).collect()}
+    rest = {r.id for r in shared.touched(frame, [F.col("id")], keys, [F.col("k")], holds=False).collect()}
+    assert got >= set(range(0, 20_000, 8)) and len(got) < 3500
+    assert got | rest == set(range(20_000)) and not got & rest
+
+
+@pytest.mark.parametrize("limit", [Fraction(85, 100), Fraction(8, 10)])
+def test_chained_sets_are_sifted_without_loss(spark, limit):
+    """One chain component of sets that share half of their shingles, some of which link."""
+    rng = np.random.default_rng(7)
+    passage = rng.integers(0, 2**63, 2000, dtype=np.uint64)
+    sets = []
+    for i in range(120):
+        own = np.unique(np.concatenate([passage[: (n := int(rng.integers(2, 1200)))], rng.integers(0, 2**63, n, dtype=np.uint64)]))
+        sets.append(own)
+        if i % 3 == 0:
+            sets.append(np.unique(np.concatenate([own[: len(own) - len(own) // 15], rng.integers(0, 2**63, len(own) // 20, dtype=np.uint64)])))
+    sets = [x << np.uint64(1) for x in sets]
+    n = np.array([len(x) for x in sets])
+    marks = jaccard.marks_of(np.concatenate(sets), n)
+    frame = spark.createDataFrame([(0, i, int(k), bytearray(m)) for i, (k, m) in enumerate(zip(n, marks, strict=True))], "root long, sid long, n long, marks binary")
+    root = {r.node: r.root for r in jaccard._sifted(frame, limit).collect()}
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(x := np.intersect1d(sets[i], sets[j])) >= limit * (n[i] + n[j] - len(x))]
+    assert len(links) > 20
+    assert all(i in root and root[i] == root[j] for i, j in links)
+    assert len(root) < len(sets) - 40
