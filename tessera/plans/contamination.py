@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import decontaminate as dc
+from ..operators import knn
 from .dual import for_oracle
 
 
@@ -123,14 +124,9 @@ def rt06_knn_vote(spark, sf):
     from pyspark.sql.window import Window
 
     (e,) = _read(spark, sf, "embeddings")
-    wide = F.transform("embedding", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
-    e = e.select("vec_id", "label", wide.alias("v"), norm.alias("m"))
-    q = e.where("vec_id % 50 = 0").selectExpr("vec_id as q", "v as qv", "m as qm", "label as ql")
-    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    near = e.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select("q", "ql", "vec_id", "label", F.round(dot / (F.col("m") * F.col("qm")), 9).alias("s"))
+    near = knn.neighbours(dc.spread(e), e.where("vec_id % 50 = 0"), 15)
     top = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where("r <= 15")
-    return top.groupBy("q").agg(F.sum(F.when(F.col("label") == F.col("ql"), 1).otherwise(0)).alias("votes"))
+    return top.groupBy("q").agg(F.sum("same").alias("votes"))
 
 
 QUERIES = {f.__name__: f for f in (dc01_exact, dc01_exact_copies, dc05_ngram13, dc05_smallest_gram, dc06_max_df, dc07_jaccard, jn11_jaccard_documents, dc09_template, dc09_template_hits, dc10_number_multiset, dc10_number_hits, dc13_source_rule, dc15_dedup_sources, dc18_summary, dc19_verify_clean, dc20_first_reason, dc21_containment, dc21_containment_half, dc22_informative, dc25_overlap_abort, fn01_words, rt06_knn_vote)}

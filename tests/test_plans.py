@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as t
 from tessera.operators import decontaminate as dc
+from tessera.operators import knn
 from tessera.plans import dual, registry
 
 SF = "/root/testdata/sf0.001"
@@ -146,3 +147,22 @@ def test_any_shared_gram_may_be_informative(spark, tmp_path):
     first = {r.doc_id: r.gram for r in registry.QUERIES["dc05_smallest_gram"](spark, sf).collect()}
     assert set(first) == {1, 2} and len(set(first[1].split())) < 5
     assert {tuple(r) for r in registry.QUERIES["dc22_informative"](spark, sf).collect()} == {(1, 1)}
+
+
+def test_knn_vote_of_odd_vectors(spark, tmp_path):
+    """Copies, zero and null vectors, null labels, against SQL; blocks of few rows."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)], int(rng.integers(3))) for i in range(400)]
+    rows += [(i, rows[i % 3][1], int(rng.integers(3))) for i in range(400, 480)]
+    rows += [(i, None, 1) for i in (480, 500, 501)] + [(i, [0.0] * 6, 1) for i in (490, 491)] + [(502, [1.0] * 6, None), (550, [1.0] * 6, None), (503, [float("nan")] + [1.0] * 5, 2)]
+    sf = _stored(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{sf}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(registry.ORACLES["rt06_knn_vote"]).fetchall())
+    before = knn.BLOCK
+    try:
+        for size in (before, 7):
+            knn.BLOCK = size
+            assert sorted((r.q, r.votes) for r in registry.QUERIES["rt06_knn_vote"](spark, sf).collect()) == want
+    finally:
+        knn.BLOCK = before
