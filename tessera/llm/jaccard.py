@@ -7,10 +7,10 @@
    Within an index list, ordered by size, neighbours whose sizes can link are chained: classes that are in no
    common chain component can't link, and are never compared. A list's runs are cut to their ends where they
    are read, so that a shingle of a third of all sets makes no long list.
-3. Sets of a chain component are sifted by their counts by cells of the shingles' hash (a byte for about every
-   eight shingles): two sets differ in no fewer shingles than these counts do, so that pairs whose counts differ
+3. Sets of a chain component are sifted by parities of their counts by cells of the shingles' hash (a bit for each
+   shingle or half of one): two sets differ in no fewer shingles than these bits do, so that pairs whose bits differ
    too much can't link, and texts of sets that are in no other pair are not read again, however many chains the
-   prefixes of a large input make.
+   prefixes of a large input make. Components of any size are sifted, in pairs of blocks.
 4. Each component of what is left is compared exactly. One of more than ``BLOCK`` units (a set is one, and one more
    for every ``UNIT`` shingles, so that blocks are bounded in bytes) is cut into blocks, first each
    by itself with some pivots of the component, so that most sets find their links; then only pairs of
@@ -42,10 +42,11 @@ ENTRIES = 1 << 20
 #: Bytes of text worked on at once (a longer text stands alone).
 TEXT_BYTES = 1 << 20
 ROW_NAMES = ["doc_id", "tid", "n_shingles", "sid", "marks", "piece", "counts"]
-#: A set's marks: its shingles by cells, about MARK of them in each, 2**MARK_BITS[0] to 2**MARK_BITS[1] cells.
-MARK, MARK_BITS = 8, (4, 12)
-#: Sets of a chain component and size band whose marks are compared pair by pair; more of them stay together.
-SIFTED = 1 << 15
+#: A set's marks: parities of its shingles by cells, of which there are as many as shingles or up to twice as many,
+#: 2**MARK_BITS[0] to 2**MARK_BITS[1]. A cell is the hash's last bits but MARK_SHIFT, so that halves fold.
+MARK_BITS, MARK_SHIFT = (6, 17), 16
+#: Most sets and bytes of marks, on average, of a block of a chain component and size band that is sifted.
+SIFTED, SIFTED_BYTES = 1 << 14, 1 << 21
 _U = np.uint64
 
 
@@ -62,13 +63,13 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 def marks_of(values: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """Of each row's sorted shingles: their counts by cells, which are the hash's first bits; 255 at most."""
-    bits = np.clip(np.ceil(np.log2(np.maximum(n, 1) / MARK)), *MARK_BITS).astype(np.int64)
+    """Of each row's shingles: parities of their counts by cells, as bits."""
+    bits = np.clip(np.ceil(np.log2(np.maximum(n, 1))), *MARK_BITS).astype(np.int64)
     end = np.cumsum(1 << bits)
     row = tb.row_of(n)
-    at = (values >> (_U(64) - bits[row].astype(_U))).astype(np.int64) + (end - (1 << bits))[row]
-    counts = np.minimum(np.bincount(at, minlength=end[-1] if len(end) else 0), 255).astype(np.uint8)
-    return [counts[b - (1 << k) : b].tobytes() for b, k in zip(end.tolist(), bits.tolist(), strict=True)]
+    at = ((values >> _U(MARK_SHIFT)) & ((_U(1) << bits.astype(_U)) - _U(1))[row]).astype(np.int64) + (end - (1 << bits))[row]
+    odd = np.packbits((np.bincount(at, minlength=end[-1] if len(end) else 0) & 1).astype(bool), bitorder="little")
+    return [odd[(b - (1 << k)) >> 3 : b >> 3].tobytes() for b, k in zip(end.tolist(), bits.tolist(), strict=True)]
 
 
 def _rows_and_counts(docs: DataFrame, size: int) -> DataFrame:
@@ -211,23 +212,51 @@ def _chains(postings: DataFrame, limit: Fraction, buckets: int) -> DataFrame:
     return postings.repartitionById(buckets, "bucket").select("blob").mapInArrow(run, "a long, b long")
 
 
-def _may_link(sid: np.ndarray, n: np.ndarray, marks: list[bytes], limit: Fraction):
-    """(a, b): stars of the sets that may link by their sizes and marks; at most EDGES_AT_ONCE pairs and a set's held."""
+class _Marked:
+    """A block of sets in order of size, with their marks by length."""
+
+    def __init__(self, sid: np.ndarray, n: np.ndarray, own: np.ndarray, marks: list[bytes]):
+        order = np.argsort(n, kind="stable")
+        self.sid, self.n = sid[order], n[order]
+        # sets of the band itself follow those of the band before
+        self.own = len(n) - int(own.sum())
+        words = np.array([len(marks[i]) // 8 for i in order.tolist()], np.int64)
+        begin = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]) if len(words) else np.zeros(0, np.int64)
+        self.runs = [(a, b, np.frombuffer(b"".join(marks[i] for i in order[a:b].tolist()), _U).reshape(b - a, -1)) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(words)], strict=True)]
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def cut(self, k: int, words: int) -> np.ndarray:
+        """The marks of a run, by fewer cells."""
+        if (k, words) not in self.folded:
+            bits = self.runs[k][2]
+            while bits.shape[1] > words:
+                bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+            self.folded[k, words] = bits
+        return self.folded[k, words]
+
+
+def _may_link(left: _Marked, right: _Marked, limit: Fraction):
+    """(a, b): stars of the pairs of two blocks (or of one) that may link by their sizes and marks, at least one of
+    them of the band itself; at most EDGES_AT_ONCE pairs and a set's held."""
     up, down = limit.numerator, limit.denominator
-    order = np.argsort(n, kind="stable")
-    sid, n = sid[order], n[order]
-    cells = min(map(len, marks))
-    # counts by more cells are added up to those by fewer
-    counts = np.array([np.frombuffer(marks[i], np.uint8).reshape(cells, -1).sum(axis=1) for i in order.tolist()], np.int32)
-    last = np.searchsorted(up * n, down * n, "right")
+    first = np.searchsorted(down * right.n, up * left.n, "left")
+    last = np.searchsorted(up * right.n, down * left.n, "right")
+    if left is right:
+        first = np.arange(1, len(left.n) + 1)
+    first[: left.own] = np.maximum(first[: left.own], right.own)
     held, pairs = [], 0
-    for i in range(len(n)):
-        others = np.arange(i + 1, last[i])
-        least = np.abs(counts[i + 1 : last[i]] - counts[i]).sum(axis=1)
-        others = others[least * (down + up) <= (n[i] + n[i + 1 : last[i]]) * (down - up)]
-        if len(others):
-            held.append((np.full(len(others), sid[i]), sid[others]))
-            pairs += len(others)
+    for k, (begin, end, bits) in enumerate(left.runs):
+        for i in range(begin, end):
+            for m, (a, b, theirs) in enumerate(right.runs):
+                lo, hi = max(a, int(first[i])), min(b, int(last[i]))
+                if lo >= hi:
+                    continue
+                words = min(bits.shape[1], theirs.shape[1])
+                least = np.bitwise_count(right.cut(m, words)[lo - a : hi - a] ^ left.cut(k, words)[i - begin]).sum(axis=1, dtype=np.int64)
+                near = np.flatnonzero(least * (down + up) <= (left.n[i] + right.n[lo:hi]) * (down - up)) + lo
+                if len(near):
+                    held.append((np.full(len(near), left.sid[i]), right.sid[near]))
+                    pairs += len(near)
         if pairs > EDGES_AT_ONCE:
             held = [stars(*(np.concatenate(c) for c in zip(*held, strict=True)))]
             pairs = len(held[0][0])
@@ -238,20 +267,31 @@ def _may_link(sid: np.ndarray, n: np.ndarray, marks: list[bytes], limit: Fractio
 
 def _sifted(marked: DataFrame, limit: Fraction) -> DataFrame:
     """node, root: components of the sets (root, sid, n, marks) that may link. Sets that link are in one size band or
-    in neighbouring ones; each is in its own and in the next."""
+    in neighbouring ones; each is in its own and in the next. A band of many sets is dealt to blocks, of which each
+    pair is compared by itself: marks are copied once for each block, an eighth of a byte or two for a shingle."""
 
     def run(table: pa.Table) -> pa.Table:
-        sid, first = np.unique(table.column("sid").to_numpy(), return_index=True)
-        if len(sid) > SIFTED:
-            a, b = stars(sid, np.full(len(sid), sid[0]))
-        else:
-            a, b = _may_link(sid, table.column("n").to_numpy()[first], table.column("marks").take(pa.array(first)).to_pylist(), limit)
+        sid, at = np.unique(table.column("sid").to_numpy(), return_index=True)
+        n, own, block = (table.column(c).to_numpy()[at] for c in ("n", "own", "block"))
+        marks = table.column("marks").take(pa.array(at)).to_pylist()
+        sides = [_Marked(sid[x], n[x], own[x], [marks[i] for i in x.tolist()]) for x in (np.flatnonzero(block == k) for k in np.unique(block))]
+        crossed = table.column("low")[0] != table.column("high")[0]
+        a, b = (np.zeros(0, np.int64),) * 2 if crossed and len(sides) < 2 else _may_link(sides[0], sides[-1], limit)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     wide = max(1e-3, -math.log(limit)) * (1 + 1e-9)
     band = F.floor(F.ln("n") / wide).cast("int")
-    banded = marked.select("root", "sid", "n", "marks", F.explode(F.array(band, band + 1)).alias("band"))
-    return components(kept(banded.groupBy("root", "band").applyInArrow(run, "a long, b long")))
+    marked = kept(marked.select("root", "sid", "n", "marks"))
+    banded = marked.select("root", "sid", "n", "marks", F.posexplode(F.array(band + 1, band)).alias("place", "band"))
+    sizes = banded.groupBy(F.col("root").alias("z_root"), F.col("band").alias("z_band")).agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("marks")).alias("size"))
+    several = F.greatest(F.ceil(F.col("m") / SIFTED), F.ceil(F.col("size") / SIFTED_BYTES)).cast("int")
+    # fewer than twice as many as there are blocks
+    large = sizes.select("z_root", "z_band", several.alias("several")).where("several > 1")
+    dealt = banded.join(F.broadcast(large), (F.col("root") == F.col("z_root")) & (F.col("band") == F.col("z_band")), "left")
+    dealt = dealt.withColumn("several", F.coalesce("several", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("sid", F.lit("sift")), F.col("several")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("several") - 1)))
+    dealt = dealt.select("root", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "sid", "n", "marks", (F.col("place") == 1).alias("own"), "block")
+    return components(kept(dealt.groupBy("root", "band", "low", "high").applyInArrow(run, "a long, b long")))
 
 
 class _Found:
@@ -333,12 +373,12 @@ def linked_rows(docs: DataFrame, size: int, limit: Fraction) -> DataFrame:
     rows = passed.where("piece is null").select("doc_id", "tid", "n_shingles", "sid")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(parts(spark), -(-int(total * (1 - limit)) // ENTRIES))
-    # written, so that no task runs two Python workers
-    chains = kept(_chains(_postings(named, size, limit, _crowding(passed), buckets), limit, buckets))
-    members = components(chains).selectExpr("node as sid", "root")
     # a class is read from the row with its smallest id
     classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.expr(f"1 + min(n_shingles) div {UNIT}").alias("units"))
     classes = kept(classes)
+    # written, so that no task runs two Python workers
+    chains = kept(_chains(_postings(touched(named, ["doc_id"], classes, ["doc_id"]), size, limit, _crowding(passed), buckets), limit, buckets))
+    members = components(chains).selectExpr("node as sid", "root")
     chained = kept(members.join(classes, "sid").select(F.col("doc_id").alias("c_doc"), F.col("sid").alias("want"), "root", "units"))
     marked = passed.where("piece is null").select("doc_id", "sid", F.col("n_shingles").alias("n"), "marks")
     marked = touched(marked, ["sid"], chained, ["want"]).join(chained, (F.col("doc_id") == F.col("c_doc")) & (F.col("sid") == F.col("want"))).select("root", "sid", "n", "marks")
@@ -424,7 +464,9 @@ def one_of_each(docs: DataFrame, size: int = 5, limit: Fraction = Fraction(8, 10
     key = (F.col("doc_id") == F.col("e_doc")) & (F.xxhash64("text") == F.col("e_tid"))
     linked = F.col("doc_id").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     worded = docs.where(linked)
-    stay = touched(worded, own, torn, ["doc_id", "tid"]).join(single, key, "left_semi")
+    # of these, only rows that may stay: most that the filter lets through go
+    asked = kept(touched(single, ["e_doc", "e_tid"], torn, ["doc_id", "tid"]))
+    stay = touched(touched(worded, own, torn, ["doc_id", "tid"]), own, asked, ["e_doc", "e_tid"]).join(asked, key, "left_semi")
     out = docs.where(~linked).unionByName(touched(worded, own, torn, ["doc_id", "tid"], holds=False)).unionByName(stay)
     if repeated.isEmpty():
         return out

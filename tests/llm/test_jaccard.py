@@ -154,3 +154,17 @@ def test_chained_sets_are_sifted_without_loss(spark, limit):
     assert len(links) > 20
     assert all(i in root and root[i] == root[j] for i, j in links)
     assert len(root) < len(sets) - 40
+
+
+def test_blocks_of_a_large_chain_component_are_sifted(spark, monkeypatch):
+    """One component of one size, dealt to blocks: sets that share three fourths of their shingles do not stay."""
+    monkeypatch.setattr(jaccard, "SIFTED", 24)
+    rng = np.random.default_rng(8)
+    passage = rng.integers(0, 2**63, 750, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 2**63, 250, dtype=np.uint64)])) for _ in range(80)]
+    sets += [np.unique(np.concatenate([x[:970], rng.integers(0, 2**63, 20, dtype=np.uint64)])) for x in sets[:10]]
+    n = np.array([len(x) for x in sets])
+    marks = jaccard.marks_of(np.concatenate(sets), n)
+    frame = spark.createDataFrame([(0, i, int(k), bytearray(m)) for i, (k, m) in enumerate(zip(n, marks, strict=True))], "root long, sid long, n long, marks binary")
+    root = {r.node: r.root for r in jaccard._sifted(frame, Fraction(8, 10)).collect()}
+    assert root == {i: i % 80 for i in [*range(10), *range(80, 90)]}
