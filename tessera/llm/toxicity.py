@@ -7,12 +7,13 @@ five bytes (hashed). A text's score is a logistic of its highest window, calibra
 sample that the network was not trained on. Empty texts are scored as one window of padding.
 
 Training uses at most ``SAMPLE`` labelled rows of at most ``SAMPLE_CHARS`` characters (of each label those
-with the smallest hashes of their ids, at most half of them toxic), on the driver. A toxic text trains the windows that the network itself
+with the smallest hashes of their ids, at most half of them toxic), in one task. A toxic text trains the windows that the network itself
 finds most toxic (first those of the highest log-odds); a text that is not trains its windows at random.
 """
 
 from __future__ import annotations
 
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -340,14 +341,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
         part |= (F.col("toxic") == label) & (order < int((1 << 30) * min(1.0, (n + 4 * n**0.5 + 1) / max(1, found.get(label, 1)))))
     known = known.where(part).withColumn("order", order).orderBy("order", "doc_id").limit(2 * SAMPLE)
     texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(known), "doc_id").select("order", "doc_id", "toxic", "text").toArrow()  # 2 * SAMPLE labels at most
-    rows = rows.to_pandas().drop_duplicates("doc_id").sort_values(["order", "doc_id"])
-    rows = pd.concat([rows[rows.toxic == label][:n] for label, n in takes.items()])
+    rows = texts.join(F.broadcast(known), "doc_id").select("order", "doc_id", "toxic", "text")  # 2 * SAMPLE labels at most
     total = sum(found.values())
-    net = train(rows.text.tolist(), rows.toxic.to_numpy().astype(int), found.get(1, 0) / total if total else None)
-    del rows
-    tb.released()
-    return net
+    rate = found.get(1, 0) / total if total else None
+
+    def run(batches):
+        rows = pd.concat([pd.DataFrame(columns=["order", "doc_id", "toxic", "text"]), *(b.to_pandas() for b in batches if b.num_rows)])
+        rows = rows.drop_duplicates("doc_id").sort_values(["order", "doc_id"])
+        rows = pd.concat([rows[rows.toxic == label][:n] for label, n in takes.items()])
+        net = train(rows.text.tolist(), rows.toxic.to_numpy().astype(int), rate)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+        del rows, net
+        tb.released()
+
+    # the driver's memory is for plans and results: it gets the parameters alone
+    made = rows.repartition(1).mapInArrow(run, "net binary").collect()
+    return pickle.loads(made[0].net) if made else train([], np.zeros(0, int), rate)
 
 
 def score_texts(docs: DataFrame, net: Network, keep: bool = False) -> DataFrame:
