@@ -20,6 +20,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), F.array().cast("array<string>"))
 
 
+def spaced_words(text: Column) -> Column:
+    """The same words in one string, parted by blanks (null: null)."""
+    return F.regexp_replace(fold(text), r"[^\p{L}\p{N}_]+", " ")
+
+
 def let(value: Column, body) -> Column:
     """body(value), with the value computed once: a lambda over a column repeats it for each element else."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -50,10 +50,13 @@ SIFTED, SIFTED_BYTES = 1 << 14, 1 << 21
 _U = np.uint64
 
 
-def sets_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct shingles of all rows, their numbers, class ids)."""
+def sets_of(data: np.ndarray, offsets: np.ndarray, size: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct shingles of all rows, their numbers, class ids). Rows with fewer than ``least`` words have none."""
     start, end, counts = tb.words(data, offsets)
     values, row = tb.shingles(tb.word_hashes(data, start, end), counts, size)
+    if least > 1:
+        enough = counts[row] >= least
+        values, row = values[enough], row[enough]
     values, n = tb.distinct_per_row(values, row, len(counts))
     sid = np.zeros(len(n), _U)
     some = np.flatnonzero(n)
@@ -72,14 +75,14 @@ def marks_of(values: np.ndarray, n: np.ndarray) -> list[bytes]:
     return [odd[(b - (1 << k)) >> 3 : b >> 3].tobytes() for b, k in zip(end.tolist(), bits.tolist(), strict=True)]
 
 
-def _rows_and_counts(docs: DataFrame, size: int) -> DataFrame:
+def _rows_and_counts(docs: DataFrame, size: int, least: int = 1, plain=F.col) -> DataFrame:
     """A row for each of ``docs`` (doc_id, tid: a hash of the text, n_shingles, sid, marks) and, in one pass with them,
     rows (piece, counts) of the distinct sets' shingles by cell, of each task."""
 
     def run(batches):
         counts, rows = np.zeros(CELLS, np.uint32), 0
         for batch, data, offsets in tb.blocks(batches, limit=TEXT_BYTES):
-            values, n, sid = sets_of(data, offsets, size)
+            values, n, sid = sets_of(data, offsets, size, least)
             first = np.zeros(len(n), bool)
             first[np.unique(sid, return_index=True)[1]] = True
             np.add.at(counts, (values[first[tb.row_of(n)]] >> _U(64 - CELL_BITS)).astype(np.int64), np.uint32(1))
@@ -92,7 +95,7 @@ def _rows_and_counts(docs: DataFrame, size: int) -> DataFrame:
             none = pa.nulls(len(some), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ROW_NAMES)
 
-    ids = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
+    ids = docs.select("doc_id", F.xxhash64("text").alias("tid"), plain("text").alias("text"))
     return ids.mapInArrow(run, "doc_id long, tid long, n_shingles long, sid long, marks binary, piece int, counts binary")
 
 
@@ -130,7 +133,7 @@ def _runs(token: np.ndarray, n: np.ndarray, limit: Fraction) -> np.ndarray:
     return np.flatnonzero(np.r_[True, ~near])
 
 
-def _postings(docs: DataFrame, size: int, limit: Fraction, crowding: bytes, buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, size: int, limit: Fraction, crowding: bytes, buckets: int, least: int = 1, plain=F.col) -> DataFrame:
     """bucket, blob: index lists of the prefixes of a block's distinct sets.
 
     A run of a block's list is chained at once, as a star, and sends only its two ends: all that is between
@@ -139,7 +142,7 @@ def _postings(docs: DataFrame, size: int, limit: Fraction, crowding: bytes, buck
     def run(batches):
         ranks = unpack(crowding)[0]
         for _, data, offsets in tb.blocks(batches, limit=TEXT_BYTES):
-            values, n, sid = sets_of(data, offsets, size)
+            values, n, sid = sets_of(data, offsets, size, least)
             first = np.zeros(len(n), bool)
             first[np.unique(sid, return_index=True)[1]] = True
             row = tb.row_of(n)
@@ -178,7 +181,7 @@ def _postings(docs: DataFrame, size: int, limit: Fraction, crowding: bytes, buck
                 blobs.append(pack((token[a:b] & _U(0xFFFFFFFF)).astype(np.uint32), (token[a:b] >> _U(56)).astype(np.uint8), local.astype(np.uint16 if len(rows) <= 1 << 16 else np.uint32), sid[rows], n[rows].astype(np.uint32), star_a[c:d], star_b[c:d]))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
-    return docs.select("text").mapInArrow(run, "bucket int, blob binary")
+    return docs.select(plain("text").alias("text")).mapInArrow(run, "bucket int, blob binary")
 
 
 def _chains(postings: DataFrame, limit: Fraction, buckets: int) -> DataFrame:
@@ -363,13 +366,15 @@ def _compare(work: DataFrame, limit: Fraction, spark: SparkSession) -> DataFrame
     return work.groupBy("block").applyInArrow(run, "a long, b long")
 
 
-def linked_rows(docs: DataFrame, size: int, limit: Fraction) -> DataFrame:
-    """doc_id, tid, n_shingles, class of links (null without shingles or without doc_id) of every row."""
+def near_sets(docs: DataFrame, size: int, limit: Fraction, least: int = 1, plain=F.col) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tid, n_shingles, sid of every row; sid, root, units, m, shingles of all sets that may link, by components
+    ``root`` of ``m`` units). Words are those of ``plain`` of the column of text; rows with fewer than ``least`` have no
+    shingle."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     named = docs.where("doc_id is not null")
     # rows without doc_id are in no index, and are counted in no harm: any order of shingles will do
-    passed = kept(_rows_and_counts(docs, size))
+    passed = kept(_rows_and_counts(docs, size, least, plain))
     rows = passed.where("piece is null").select("doc_id", "tid", "n_shingles", "sid")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(parts(spark), -(-int(total * (1 - limit)) // ENTRIES))
@@ -377,7 +382,7 @@ def linked_rows(docs: DataFrame, size: int, limit: Fraction) -> DataFrame:
     classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.expr(f"1 + min(n_shingles) div {UNIT}").alias("units"))
     classes = kept(classes)
     # written, so that no task runs two Python workers
-    chains = kept(_chains(_postings(touched(named, ["doc_id"], classes, ["doc_id"]), size, limit, _crowding(passed), buckets), limit, buckets))
+    chains = kept(_chains(_postings(touched(named, ["doc_id"], classes, ["doc_id"]), size, limit, _crowding(passed), buckets, least, plain), limit, buckets))
     members = components(chains).selectExpr("node as sid", "root")
     chained = kept(members.join(classes, "sid").select(F.col("doc_id").alias("c_doc"), F.col("sid").alias("want"), "root", "units"))
     marked = passed.where("piece is null").select("doc_id", "sid", F.col("n_shingles").alias("n"), "marks")
@@ -389,14 +394,20 @@ def linked_rows(docs: DataFrame, size: int, limit: Fraction) -> DataFrame:
 
     def read_sets(batches):
         for batch, data, offsets in tb.blocks(batches, limit=TEXT_BYTES):
-            values, n, sid = sets_of(data, offsets, size)
+            values, n, sid = sets_of(data, offsets, size, least)
             ends = np.cumsum(n)
             right = np.flatnonzero(sid == batch.column(1).to_numpy())
             blobs = [values[ends[i] - n[i] : ends[i]].tobytes() for i in right.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(sid[right]), *(batch.column(k).take(pa.array(right)) for k in (2, 3, 4)), pa.array(blobs, pa.binary())], ["sid", "root", "units", "m", "shingles"])
 
-    read = touched(named, ["doc_id"], wanted, ["w_doc"]).join(wanted, F.col("doc_id") == F.col("w_doc")).select("text", "want", "root", "units", "m")
-    sets = kept(read.mapInArrow(read_sets, "sid long, root long, units long, m long, shingles binary"))
+    read = touched(named, ["doc_id"], wanted, ["w_doc"]).join(wanted, F.col("doc_id") == F.col("w_doc")).select(plain("text").alias("text"), "want", "root", "units", "m")
+    return rows, kept(read.mapInArrow(read_sets, "sid long, root long, units long, m long, shingles binary"))
+
+
+def linked_rows(docs: DataFrame, size: int, limit: Fraction) -> DataFrame:
+    """doc_id, tid, n_shingles, class of links (null without shingles or without doc_id) of every row."""
+    spark = docs.sparkSession
+    rows, sets = near_sets(docs, size, limit)
     several = F.expr(f"cast(ceil(m / {BLOCK}) as int)")
     mixed = F.xxhash64("sid", F.lit("block"))
     pivot = (several > 1) & (F.expr(f"pmod(xxhash64(sid, 'pivot'), greatest(1L, m div {PIVOTS}))") == 0)
