@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +31,34 @@ def kept(frame: DataFrame, path: str | None = None) -> DataFrame:
     spark = frame.sparkSession
     path = path or f"{folder(spark)}/kept-{uuid.uuid4()}"
     frame.write.parquet(path)
+    trimmed(spark)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def trimmed(spark: SparkSession) -> str | None:
+    """Gives back to the system what the driver's JVM has freed outside its heap, and the allocator still holds for its
+    hundreds of threads: it grows with the number of jobs. None where the JVM has no such command (before 17.0.9, or
+    not on glibc)."""
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+
+    def array(of, *values):
+        out = new(of, len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    lang = jvm.java.lang
+    try:
+        # the server's own class is not exported, so that its method is taken from the interface
+        named = [lang.Class.forName(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        invoke = lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(lang.Class, *named))
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = lang.management.ManagementFactory.getPlatformMBeanServer()
+        return invoke.invoke(server, array(lang.Object, command, "systemTrimNativeHeap", array(lang.Object), array(lang.String)))
+    except Py4JError:
+        return None
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table of ``kept`` that nothing reads any more."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -145,12 +171,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges than there are parts), then dealt by their larger nodes; then each smaller node that has edges of its
     own is replaced by its smallest neighbour. Smaller nodes may be hubs of any size: ``looked_up`` splits them.
     The rounds end when nothing changes. Each is written to the shared folder, and the one before it deleted.
+    Edges that one task may hold (EDGES_AT_ONCE: their number, not the input's) are turned into stars by one, in place
+    of rounds of many small jobs, whose records and threads fill the driver.
     """
     spark = edges.sparkSession
     schema = "a long, b long"
     base, before, old = f"{folder(spark)}/components-{uuid.uuid4()}", None, []
     edges = edges.select("a", "b").where("a <> b")
+    left = edges.count()
     for k in range(rounds):
+        if left <= EDGES_AT_ONCE:
+            edges = kept(edges.repartition(1).mapInArrow(_stars_of_parts, schema), f"{base}/{k}")
+            for path in old:
+                removed(spark, path)
+            break
         near = kept(edges.mapInArrow(_stars_of_parts, schema).repartition("a").mapInArrow(_stars_of_parts, schema), f"{base}/{k}-near")
         up = near.groupBy("a").agg(F.min("b").alias("up")).withColumnRenamed("a", "up_a")
         jumped = looked_up(near, "b", up, "up_a")
@@ -162,7 +196,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, left = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     return edges.selectExpr("a as node", "b as root").unionByName(edges.selectExpr("b as node", "b as root").distinct())

@@ -1,5 +1,6 @@
 """Components and the near-copy join against brute force."""
 
+import sys
 from fractions import Fraction
 
 import numpy as np
@@ -58,6 +59,36 @@ def test_components_of_hubs_chains_and_random_edges(spark, hub):
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [0, 400])
+def test_components_of_more_edges_than_a_task_holds(spark, monkeypatch, at_once):
+    monkeypatch.setattr(shared, "EDGES_AT_ONCE", at_once)
+    rng = np.random.default_rng(9)
+    edges = [(3, i) for i in range(0, 1000, 3)] + [(i, i + 3) for i in range(1, 400, 3)] + rng.integers(400, 700, (150, 2)).tolist()
+    want = _roots(1000, edges)
+    got = shared.components(spark.createDataFrame([(int(a), int(b)) for a, b in edges], "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in got) == [(i, want[i]) for i in sorted({x for a, b in edges if a != b for x in (a, b)})]
+
+
+def test_few_edges_need_few_jobs(spark):
+    """The driver keeps a record of each job, and a thread for each shuffle."""
+    edges = shared.kept(spark.range(2000).selectExpr("id as a", "id + 1 as b"))
+    context = spark.sparkContext
+    context.setJobGroup("few-edges", "components")
+    try:
+        found = shared.components(edges)
+        assert len(context.statusTracker().getJobIdsForGroup("few-edges")) <= 6
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r.node, r.root) for r in found.collect()} == {(i, 0) for i in range(2001)}
+
+
+def test_freed_native_memory_is_given_back(spark):
+    """By the JVMs that have the command; others answer nothing, and harm nothing."""
+    server = spark.sparkContext._jvm.java.lang.Runtime.version()
+    said = shared.trimmed(spark)
+    assert "rim native heap" in said if sys.platform == "linux" and (server.feature() > 17 or server.feature() == 17 and server.update() >= 9) else said is None or "rim" in said
+
+
 def test_hot_keys_are_looked_up(spark):
     rows = shared.kept(spark.createDataFrame([(k, i) for i, k in enumerate([1] * 600 + list(range(2, 300)) + [None] * 5)], "k long, i long"))
     values = spark.createDataFrame([(k, -k) for k in range(0, 250)], "v_k long, v long")
